@@ -20,6 +20,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicate_groups
+
+    return near_duplicate_groups(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import text_media_features
 
@@ -27,7 +35,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_mix_sources, op9_media_columns)}
+    return {f.__name__: f for f in (op3_mix_sources, op7_simhash_neardup, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
