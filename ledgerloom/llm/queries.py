@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,27 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict_language, train_prototypes
+
+    docs = table(spark, sf_dir, "documents").withColumn("fold", F.pmod(crc_of_id("doc_id"), F.lit(5)))
+    prototypes = train_prototypes(docs.filter("fold <> 0"), "text", "lang", "doc_id")
+    held_out = docs.withColumn("held_out", F.coalesce(F.col("fold") == 0, F.lit(False)))
+    return predict_language(held_out, prototypes, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dac import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicate_groups
 
@@ -35,7 +56,14 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_mix_sources, op7_simhash_neardup, op9_media_columns)}
+    return {f.__name__: f for f in (
+        op3_mix_sources,
+        op4_bpe_encode_decode,
+        op5_language_id,
+        op6_token_files,
+        op7_simhash_neardup,
+        op9_media_columns,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
