@@ -12,6 +12,22 @@ from .common import crc_of_id, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gam import fit_quality, score_quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels.filter(F.pmod(crc_of_id("doc_id"), F.lit(4)) != 2))
+    held_out = docs.withColumn("held_out", F.coalesce(F.pmod(crc_of_id("doc_id"), F.lit(4)) == 2, F.lit(False)))
+    return score_quality(held_out, model, keep=("held_out",)).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import fit_rules, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
@@ -57,6 +73,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
+        op1_quality_gam,
+        op2_quality_rules,
         op3_mix_sources,
         op4_bpe_encode_decode,
         op5_language_id,
