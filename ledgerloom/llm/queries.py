@@ -65,12 +65,24 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrappers import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import text_media_features
 
     return text_media_features(table(spark, sf_dir, "documents")).drop("tile_npy")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_templates import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality_gam,
@@ -80,7 +92,9 @@ def queries() -> dict[str, Query]:
         op5_language_id,
         op6_token_files,
         op7_simhash_neardup,
+        op8_html_main_text,
         op9_media_columns,
+        op10_url_filters,
     )}
 
 

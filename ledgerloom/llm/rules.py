@@ -97,6 +97,9 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         only(".,;:!?").alias("n_punct"),
     )
 
+    # A generator that predicates are not pushed through: below it they would be inlined over and over.
+    counted = counted.select(F.inline(F.array(F.struct(*[F.col(c) for c in counted.columns]))))
+
     def share(a: str, b: Column) -> Column:
         return F.col(a).cast("double") / F.greatest(b.cast("double"), F.lit(1.0))
 
