@@ -1 +1 @@
-
+"""Operators over facts, text, vectors, tables and answers."""
