@@ -139,8 +139,8 @@ def companyfacts(spark: SparkSession, path: str, min_fy: int = 2021, namespaces:
         "label",
         "unit",
         F.col("e.val").alias("value"),
-        F.try_to_date("e.start", F.lit("yyyy-MM-dd")).alias("period_start"),
-        F.try_to_date("e.end", F.lit("yyyy-MM-dd")).alias("period_end"),
+        F.try_to_date("e.start", "yyyy-MM-dd").alias("period_start"),
+        F.try_to_date("e.end", "yyyy-MM-dd").alias("period_end"),
         F.col("e.start").isNull().alias("is_instant"),
         F.col("e.fy").alias("fiscal_year"),
         F.when(F.col("e.fp").isin("Q1", "Q2", "Q3"), F.substring("e.fp", 2, 1).cast("int")).alias("fiscal_quarter"),
