@@ -14,32 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, langid, mixing, rules, simhash
-from ledgerloom.llm.common import materialize, table
+from ledgerloom.llm.common import fresh, materialize, table
 
 #: Documents whose language is that unsure go.
 LEAST_SCORE = 0.4
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """The rows with a number each, so that judgements come back to their row."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "stage")
+def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each, so that judgements come back to their row; the number's column."""
+    row = fresh(docs, "__row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "stage"), row
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without letters or without a clear language go."""
-    marked = _marked(docs)
+    marked, row = _marked(docs)
     prototypes = langid.train_prototypes(docs, "text", "lang", "doc_id")
-    found = langid.predict_language(marked, prototypes, id_col="__row")
+    found = langid.predict_language(marked, prototypes, id_col=row)
     kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return marked.join(kept.select("__row"), "__row", "left_semi").select(*docs.columns)
+    return marked.join(kept.select(row), row, "left_semi").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the base rule or a learned rule rejects go."""
-    marked = _marked(docs)
+    marked, row = _marked(docs)
     learned = rules.fit_rules(docs, table(spark, sf_dir, "labels"))
-    kept = rules.judge(marked, learned, id_col="__row").filter("kept")
-    return marked.join(kept.select("__row"), "__row", "left_semi").select(*docs.columns)
+    kept = rules.judge(marked, learned, id_col=row).filter("kept")
+    return marked.join(kept.select(row), row, "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

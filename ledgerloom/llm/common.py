@@ -141,3 +141,11 @@ def text_chunks(offsets, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
             hi += 1
         yield lo, hi
         lo = hi
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer while ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, running_totals
+from .common import fresh, materialize, n_words, running_totals
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -95,13 +95,10 @@ def mix_plan(
 
 def emit_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (all columns kept)."""
-    marked = materialize(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix")
-    plan = mix_plan(marked, row_col="__mix_row", **options).filter("copies > 0").select(F.col("row").alias("__mix_row"), F.col("copies").alias("__mix_copies"))
-    return (
-        marked.join(plan, "__mix_row")
-        .withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
-        .select(*docs.columns)
-    )
+    row, copies, copy = (fresh(docs, c) for c in ("__mix_row", "__mix_copies", "__mix_copy"))
+    marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix")
+    plan = mix_plan(marked, row_col=row, **options).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
+    return marked.join(plan, row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 #: The same plan for DuckDB over a relation ``src`` (doc_id, text, source).

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship_package
-from .common import arrow_map, materialize
+from .common import arrow_map, fresh, materialize
 
 RADIUS = 4
 #: Rows of one tile of a large group; a task compares two tiles.
@@ -223,7 +223,9 @@ def near_duplicate_groups(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of the smallest id."""
-    marked = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = near_duplicate_groups(marked.withColumn("__key", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__row").alias("row"))), "__key", text_col, **options)
-    kept = groups.groupBy("group_id").agg(F.min("id").alias("first")).select(F.col("first.row").alias("__row"))
-    return marked.join(kept, "__row", "left_semi").select(*docs.columns)
+    row, key = fresh(docs, "__row"), fresh(docs, "__key")
+    marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    by_id = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    groups = near_duplicate_groups(marked.withColumn(key, by_id), key, text_col, **options)
+    kept = groups.groupBy("group_id").agg(F.min("id").alias("first")).select(F.col("first.row").alias(row))
+    return marked.join(kept, row, "left_semi").select(*docs.columns)
