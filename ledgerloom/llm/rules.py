@@ -30,7 +30,8 @@ MAX_CONDITIONS = 3
 MAX_RULES = 12
 MIN_PRECISION = 0.9
 #: Statistics that conditions may test.
-FEATURES = ("symbol_share", "upper_share", "digit_share", "punct_share", "mean_word", "distinct_share", "repeat_share", "dup_line_share", "log_words")
+#: Shares that do not depend on a text's length or language.
+FEATURES = ("symbol_share", "upper_share", "neighbour_share", "repeat_share", "dup_line_share", "digit_share", "punct_share")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -91,7 +92,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size("lines").alias("n_lines"),
-        F.size(F.array_distinct("words")).alias("n_distinct"),
+        F.size(F.filter(F.transform("words", lambda w, i: w == F.get("words", i + 1)), lambda same: same)).alias("n_neighbours"),
         only(r"\p{Lu}").alias("n_upper"),
         only("0-9").alias("n_digits"),
         only(".,;:!?").alias("n_punct"),
@@ -112,11 +113,9 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         share("n_upper", chars).alias("upper_share"),
         share("n_digits", chars).alias("digit_share"),
         share("n_punct", chars).alias("punct_share"),
-        share("word_chars", words).alias("mean_word"),
-        share("n_distinct", words).alias("distinct_share"),
+        share("n_neighbours", words).alias("neighbour_share"),
         share("n_repeat_words", words).alias("repeat_share"),
         share("n_dup_lines", F.col("n_lines")).alias("dup_line_share"),
-        F.log1p(words.cast("double")).alias("log_words"),
     )
 
 
