@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.shipping import ship_package
+from ..sources.tables import read_table
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,8 +28,8 @@ CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of a data folder, by Spark's own readers."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table ``name`` of a data folder, by Spark's own readers, spread over all cores."""
+    return read_table(spark, sf_dir, name)
 
 
 def work_dir(spark: SparkSession) -> str:
