@@ -104,33 +104,30 @@ def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     four quarters. Cash is an instant, reported at each quarter's end.
     """
     money = "decimal(28,4)"
-    q = quarter_sums(spark, sf_dir)
-    duration = [("revenue", 0), ("cost", 1), ("gross", 2), ("operating", 3), ("cash_flow", 4), ("ppe", 5)]
-    wide = q.select(
-        "entity", "fiscal_year", "q", *[F.col(c).cast(money).alias(c) for c in ("revenue", "cost", "operating", "cash_flow")],
-        (F.col("revenue") - F.col("cost")).cast(money).alias("gross"), (-F.col("tax")).cast(money).alias("ppe"), F.col("tax").cast(money).alias("cash"),
-    )
-    annual = wide.groupBy("entity", "fiscal_year").agg(
-        F.count(F.lit(1)).alias("quarters"), *[F.sum(c).cast(money).alias(c) for c, _ in duration], F.sum(F.when(F.col("q") == 4, F.col("cash"))).cast(money).alias("cash")
-    ).filter("quarters = 4").drop("quarters").withColumn("q", F.lit(None).cast("int"))
-    reports = wide.filter("q <= 3").unionByName(annual)
-    items = F.array(
-        *[F.struct(F.lit(CONCEPTS[k]).alias("concept"), F.lit(k).alias("k"), F.lit(False).alias("is_instant"), F.col(c).alias("value")) for c, k in duration],
-        F.struct(F.lit(CASH).alias("concept"), F.lit(6).alias("k"), F.lit(True).alias("is_instant"), F.col("cash").alias("value")),
+    names = ("revenue", "cost", "gross", "operating", "cash_flow", "ppe", "cash")
+    wide = quarter_sums(spark, sf_dir).select(
+        "entity", "fiscal_year", F.col("q").cast("int").alias("q"), "revenue", "cost", (F.col("revenue") - F.col("cost")).cast(money).alias("gross"), "operating", "cash_flow",
+        (-F.col("tax")).cast(money).alias("ppe"), F.col("tax").alias("cash"),
     )
+    # A year has four quarters at most, so its reports are built from one row: the join above runs once.
+    sums = [F.sum(n).cast(money).alias(n) if n != "cash" else F.sum(F.when(F.col("q") == 4, F.col(n))).cast(money).alias(n) for n in names]
+    years = wide.groupBy("entity", "fiscal_year").agg(F.collect_list(F.struct("q", *[F.col(n).cast(money).alias(n) for n in names])).alias("quarters"), *sums)
+    annual = F.array(F.struct(F.lit(None).cast("int").alias("q"), *names))
+    filed = F.concat(F.filter("quarters", lambda r: r["q"] <= 3), F.when(F.size("quarters") == 4, annual).otherwise(F.slice(annual, 1, 0)))
+    reports = years.select("entity", "fiscal_year", F.inline(filed))
+
+    def item(concept: str, k: int, value: Column, again: bool = False) -> Column:
+        order = ((F.col("fiscal_year") * 10 + F.coalesce("q", F.lit(4))) * 10 + k + (100 if again else 0)).cast("bigint")
+        return F.struct(F.lit(concept).alias("concept"), F.lit(concept == CASH).alias("is_instant"), value.cast(money).alias("value"), order.alias("ord"))
+
+    items = F.array(*[item(c, k, F.col(n)) for k, (c, n) in enumerate(zip(CONCEPTS, names))])
+    restated = item(REVENUE, 0, F.col("revenue") * F.lit(101).cast("decimal(4,0)") / F.lit(100).cast("decimal(4,0)"), again=True)
     end = quarter_end(F.col("fiscal_year"), F.coalesce("q", F.lit(4)))
     begin = F.when(F.col("q").isNull(), F.make_date("fiscal_year", F.lit(1), F.lit(1))).otherwise(F.trunc(end, "quarter"))
-    filed = reports.select("entity", "fiscal_year", F.col("q").alias("fiscal_quarter"), F.inline(items), begin.alias("begin"), end.alias("period_end")).select(
-        "entity", "concept", "fiscal_year", "fiscal_quarter", "is_instant", "value",
-        F.when(~F.col("is_instant"), F.col("begin")).alias("period_start"), "period_end",
-        ((F.col("fiscal_year") * 10 + F.coalesce("fiscal_quarter", F.lit(4))) * 10 + F.col("k")).cast("bigint").alias("ord"),
-    )
-    again = filed.filter((F.col("concept") == REVENUE) & F.col("fiscal_quarter").isNull()).select(
-        *[c for c in filed.columns if c not in ("value", "ord")],
-        (F.col("value") * F.lit(101).cast("decimal(4,0)") / F.lit(100).cast("decimal(4,0)")).cast(money).alias("value"),
-        (F.col("ord") + 100).alias("ord"),
+    rows = F.when(F.col("q").isNull(), F.concat(items, F.array(restated))).otherwise(items)
+    return reports.select("entity", "fiscal_year", F.col("q").alias("fiscal_quarter"), begin.alias("begin"), end.alias("period_end"), F.inline(rows)).select(
+        "entity", "concept", "fiscal_year", "fiscal_quarter", "is_instant", "value", F.when(~F.col("is_instant"), F.col("begin")).alias("period_start"), "period_end", "ord"
     )
-    return filed.unionByName(again)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
