@@ -92,6 +92,13 @@ def clean_table(raw: Column) -> Column:
     return F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
 
 
+def dedupe_headers(headers: DataFrame) -> DataFrame:
+    """headers (table_id, col, name): repeated names of a table get their number."""
+    k = F.row_number().over(Window.partitionBy("table_id", "name").orderBy("col"))
+    numbered = headers.withColumn("k", k)
+    return numbered.select("table_id", "col", F.when(F.col("k") > 1, F.concat("name", F.lit(" ("), "k", F.lit(")"))).otherwise(F.col("name")).alias("name"))
+
+
 def validate_cells(cells: DataFrame) -> DataFrame:
     """cells (.., raw_value): value, detail and status of each."""
     digits = F.regexp_count("raw_value", F.lit(r"\d")) >= 2

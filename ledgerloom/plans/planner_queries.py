@@ -85,6 +85,16 @@ def plan_subqueries(spark, sf_dir):
     return planner.sub_queries(planned(spark))
 
 
+@query("plan_keywords")
+def plan_keywords(spark, sf_dir):
+    return planned(spark).select("question_id", "search_text", F.array_join("keywords", " ").alias("keywords"))
+
+
+@query("plan_period_semantics")
+def plan_period_semantics(spark, sf_dir):
+    return planned(spark).select("question_id", F.inline(F.arrays_zip("periods", "period_semantics"))).withColumnRenamed("periods", "period_end")
+
+
 @query("plan_operands")
 def plan_operands(spark, sf_dir):
     return planner.operands(planned(spark))

@@ -328,6 +328,25 @@ def table_scale_infer(spark, sf_dir):
     return t.select("caption", table_scale(F.col("caption")).cast("int").alias("scale"))
 
 
+HEADERS = [(1, 0, "Year"), (1, 1, "Revenue"), (1, 2, "Revenue"), (1, 3, ""), (1, 4, "Revenue"), (2, 0, "Revenue")]
+
+
+@query(
+    "header_dedupe",
+    f"""WITH h(table_id, col, name) AS (VALUES {_values(HEADERS)}), n AS (SELECT *, row_number() OVER (PARTITION BY table_id, name ORDER BY col) AS k FROM h)
+SELECT CAST(table_id AS BIGINT) AS table_id, CAST(col AS BIGINT) AS col, name || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END AS name FROM n""",
+)
+def header_dedupe(spark, sf_dir):
+    return ingestion.dedupe_headers(spark.createDataFrame(HEADERS, "table_id long, col long, name string"))
+
+
+@query("table_clean", "SELECT * FROM (VALUES (1, 'Segment|Revenue / Auto motive|71,462'), (2, '')) t(table_id, cells)")
+def table_clean(spark, sf_dir):
+    raw = [(1, [[" Segment ", "Revenue\n"], ["", None], ["Auto \t motive", "71,462"]]), (2, [["", " "]])]
+    t = spark.createDataFrame(raw, "table_id int, raw array<array<string>>").withColumn("rows", ingestion.clean_table(F.col("raw")))
+    return t.select("table_id", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), " / ").alias("cells"))
+
+
 # --- ingestion ----------------------------------------------------------------------------------
 
 RAW_FILES = ["Acme_2023_全年_10-K.pdf", "Acme_2023_Q1_10-Q.pdf", "Acme_2023_Q2_10-Q.pdf", "Acme_2022_全年_10-K.pdf", "notes.pdf", "Acme_2023_Q4_10-Q.pdf"]

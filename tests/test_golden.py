@@ -213,3 +213,9 @@ def test_stream_equals_batch(spark, tmp_path):
     got = events.run_once(spark, str(folder), str(tmp_path / "cp"), "events_out")
     want = events.windowed(spark.read.parquet(src).withColumn("ts", F.col("ts").cast("timestamp")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_question_reading():
+    r = planner.read_question("What was the gross margin in Q4 2022?")
+    assert r["period_semantics"] == ["quarterly_standalone"] and "Q4 2022" in r["search_text"] and r["keywords"][:2] == ["gross", "margin"]
+    assert planner.read_question("2022年毛利率")["search_text"] == "gross margin gross profit FY2022"
