@@ -46,27 +46,26 @@ def quarter_end(year: Column, quarter: Column) -> Column:
     return F.last_day(F.make_date(year.cast("int"), (quarter * 3).cast("int"), F.lit(1)))
 
 
+def filing_period(doc_id: Column) -> tuple[Column, Column, Column]:
+    """fiscal year, fiscal quarter (null for the annual report) and period end of a document's filing."""
+    year, q = (F.lit(2021) + F.floor(doc_id / 4) % 5).cast("int"), (doc_id % 4).cast("int")
+    return year, F.when(q > 0, q), quarter_end(year, F.when(q == 0, F.lit(4)).otherwise(q))
+
+
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One filing for each document: quarter 0 is the annual report."""
-    docs = read_table(spark, sf_dir, "documents")
-    year = (F.lit(2021) + F.floor(F.col("doc_id") / 4) % 5).cast("int")
-    q = (F.col("doc_id") % 4).cast("int")
-    return docs.select(
-        "doc_id",
-        F.when(q == 0, "10-K").otherwise("10-Q").alias("filing_type"),
-        year.alias("fiscal_year"),
-        F.when(q > 0, q).alias("fiscal_quarter"),
-        quarter_end(year, F.when(q == 0, F.lit(4)).otherwise(q)).alias("period_end"),
-        "source",
+    year, quarter, period_end = filing_period(F.col("doc_id"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", F.when(quarter.isNull(), "10-K").otherwise("10-Q").alias("filing_type"), year.alias("fiscal_year"), quarter.alias("fiscal_quarter"), period_end.alias("period_end"), "source"
     )
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section chunks: the text of each filing under its source as title."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
-    period = filings(spark, sf_dir).select("doc_id", "period_end", "fiscal_year")
-    return docs.join(period, "doc_id").select(
-        F.col("doc_id").alias("chunk_id"), "doc_id", F.col("source").alias("section_title"), "text", "period_end", "fiscal_year",
+    docs = read_table(spark, sf_dir, "documents")
+    year, _, period_end = filing_period(F.col("doc_id"))
+    return docs.select(
+        F.col("doc_id").alias("chunk_id"), "doc_id", F.col("source").alias("section_title"), "text", period_end.alias("period_end"), year.alias("fiscal_year"),
         F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).cast("bigint").alias("token_count"),
     )
 
