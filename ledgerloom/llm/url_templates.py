@@ -1,14 +1,18 @@
 """URL filters: rules first, then a path-template tree learned per host.
 
-A host's paths form a tree, one level for each segment. At each node, children with few of the
-node's urls are variable segments and become the wildcard ``*``; the others stay literal, and
-siblings whose labelled block rates do not differ significantly (all siblings without labels among
-them) merge into one branch ``{a|b}``. A template is rejected if its smoothed labelled purity,
-(blocked + ALPHA * PRIOR) / (labelled + ALPHA), is over ``REJECT``. Labels are the rules' verdicts
-unless the caller gives a column of its own.
-
-The tree is built level by level from grouped counts of distinct paths; a node keeps at most
-1 / LITERAL_SHARE literal children, which bounds every group that meets in one place.
+A host's paths form a tree, one level for each segment. At each node, a child whose block rate
+differs significantly from that of its siblings together is a branch of its own; such branches merge
+while their rates do not differ. The other labelled children are one branch, the unlabelled ones
+another, so no labels judge a different segment without labels. Only where a node has
+``LEAST_VARIABLE`` or more different segments of fewer than ``LEAST_LITERAL`` urls (ids, slugs) is the
+position variable: those of them that do not differ are the wildcard ``*`` and share their labels. A
+branch is written ``{a|b}``, beyond ``NAMED`` members with its first ones and their number. A template
+is rejected if its smoothed labelled purity, (blocked + ALPHA * PRIOR) / (labelled + ALPHA), is over
+``REJECT``. Labels are the rules' verdicts unless the caller gives a column of its own.
+
+The tree is built level by level from grouped counts of distinct paths. Neither the size of a segment
+nor the number of branches of a node is capped: nodes are summed by aggregation, and branches are
+merged in one sorted pass that holds one row at a time.
 
 Defined results: a null url or one without :// has host and path '' (no rule fits, and its template
 is judged like any other); segments beyond ``DEPTH`` count as one ``**``; repeated rows count as
@@ -17,21 +21,27 @@ often as they occur; extra columns are ignored; an empty table gives an empty ta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import log
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_map, materialize
 from .wrappers import url_host
 
 #: (verdict, rule); a rule is a host suffix and a path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DEPTH = 5
-LITERAL_SHARE = 0.05
 LEAST_LITERAL = 3
+#: So many different segments of fewer than LEAST_LITERAL urls make a position variable.
+LEAST_VARIABLE = 8
+NAMED = 8
 ALPHA = 2.0
 PRIOR = 0.25
 REJECT = 0.5
-#: Two branches differ if their rates are so many standard errors apart.
+#: Two rates differ if they are so many standard errors apart (the root of the likelihood ratio).
 DIFFER = 1.96
 
 
@@ -50,30 +60,79 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
-def _merge_branches(children: DataFrame) -> DataFrame:
-    """host, prefix, branch -> merged: siblings in order of block rate join while they do not differ."""
-    rate = F.try_divide(F.col("blocked"), F.col("labelled"))
-    group = Window.partitionBy("host", "prefix").orderBy(F.coalesce(rate, F.lit(-1.0)), "branch")
-    before_b, before_l = F.lag("blocked").over(group), F.lag("labelled").over(group)
-    pooled = (F.col("blocked") + F.col("before_b") + 1.0) / (F.col("labelled") + F.col("before_l") + 2.0)
-    error = F.sqrt(pooled * (1 - pooled) * (1.0 / F.greatest("labelled", F.lit(1)) + 1.0 / F.greatest("before_l", F.lit(1))))
-    apart = F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(F.col("before_b"), F.col("before_l"))) > DIFFER * error
-    known = (F.col("labelled") > 0) != (F.col("before_l") > 0)
-    marked = (
-        children.withColumn("before_b", before_b)
-        .withColumn("before_l", before_l)
-        .withColumn("new", F.when(F.col("before_l").isNull(), F.lit(0)).when(known | F.coalesce(apart, F.lit(False)), F.lit(1)).otherwise(F.lit(0)))
+def _likelihood(blocked: Column, labelled: Column) -> Column:
+    """Log-likelihood of so many blocked of so many labelled at their own rate."""
+
+    def f(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
+
+    return f(blocked) + f(labelled - blocked) - f(labelled)
+
+
+def _differ(b1: int, l1: int, b2: int, l2: int) -> bool:
+    """Whether two rates differ, by their likelihood ratio."""
+
+    def f(b: int, n: int) -> float:
+        return sum(x * log(x) for x in (b, n - b) if x) - (n * log(n) if n else 0.0)
+
+    return 2 * (f(b1, l1) + f(b2, l2) - f(b1 + b2, l1 + l2)) > DIFFER**2
+
+
+def _merge_branches(differing: DataFrame) -> DataFrame:
+    """host, prefix, segment, cluster: siblings in order of block rate join the last cluster while they do not differ from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, cluster, b_sum, l_sum = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for host, prefix, blocked, labelled in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
+                if (host, prefix) != node:
+                    node, cluster, b_sum, l_sum = (host, prefix), 0, 0, 0
+                elif _differ(blocked, labelled, b_sum, l_sum):
+                    cluster, b_sum, l_sum = cluster + 1, 0, 0
+                b_sum, l_sum = b_sum + blocked, l_sum + labelled
+                out.append(str(cluster))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string())], names=["host", "prefix", "segment", "cluster"])
+
+    slim = differing.select("host", "prefix", "segment", "blocked", "labelled")
+    order = ["host", "prefix", F.col("blocked") / F.col("labelled"), F.desc("labelled"), "segment"]
+    return arrow_map(slim.repartition("host", "prefix").sortWithinPartitions(*order), run, "host string, prefix string, segment string, cluster string")
+
+
+def _branches(counts: DataFrame, least_literal: int) -> DataFrame:
+    """host, prefix, segment, merged for the children of every node that are no wildcard."""
+    b, n = F.col("blocked").cast("double"), F.col("labelled").cast("double")
+    nodes = counts.groupBy("host", "prefix").agg(
+        F.sum("labelled").cast("double").alias("all_l"),
+        F.sum("blocked").cast("double").alias("all_b"),
+        F.count_if(F.col("labelled") > 0).cast("double").alias("kids"),
+        F.count_if(F.col("n") < least_literal).alias("rare"),
+        F.coalesce(F.sum(F.try_divide(b * b, n)), F.lit(0.0)).alias("squares"),
     )
-    cluster = F.sum("new").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    names = F.sort_array(F.collect_set("branch").over(Window.partitionBy("host", "prefix", "cluster")))
-    return marked.withColumn("cluster", cluster).select(
-        "host", "prefix", "branch", F.when(F.size(names) > 1, F.concat(F.lit("{"), F.array_join(names, "|"), F.lit("}"))).otherwise(F.col("branch")).alias("merged")
+    all_b, all_l, kids = F.col("all_b"), F.col("all_l"), F.col("kids")
+    ratio = 2 * (_likelihood(b, n) + _likelihood(all_b - b, all_l - n) - _likelihood(all_b, all_l))
+    # The dispersion of the children's rates; one label each is never dispersed.
+    spread = F.try_divide((F.col("squares") - all_b * all_b / all_l) * all_l * all_l, all_b * (all_l - all_b))
+    uneven = F.coalesce(F.round(spread, 6) > (kids - 1) + DIFFER * F.sqrt(2 * (kids - 1)), F.lit(False))
+    # Of many siblings some differ by chance, unless all of them together differ by more than that.
+    limit = DIFFER**2 + F.when(uneven & (F.col("n") >= least_literal), F.lit(0.0)).otherwise(2 * F.log(F.greatest(kids, F.lit(1.0))))
+    differs = (F.col("labelled") > 0) & (n < all_l) & (ratio > limit)
+    variable = (F.col("n") < least_literal) & (F.col("rare") >= LEAST_VARIABLE)
+    kind = F.when(differs, "differs").when(variable, "*").when(F.col("labelled") > 0, "labelled").otherwise("unlabelled")
+    kinds = materialize(counts.join(nodes, ["host", "prefix"]).withColumn("cluster", kind).filter("cluster <> '*'").select(*counts.columns, "cluster"), "branches")
+    clusters = kinds.filter("cluster <> 'differs'").select("host", "prefix", "segment", "cluster").unionByName(_merge_branches(kinds.filter("cluster = 'differs'")))
+    clusters = materialize(clusters, "clusters")
+    group = ["host", "prefix", "cluster"]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("segment"))
+    first = clusters.withColumn("place", place).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("members"), F.sort_array(F.collect_list(F.when(F.col("place") <= NAMED, F.col("segment")))).alias("names")
     )
+    more = F.when(F.col("members") > NAMED, F.concat(F.lit("|+"), (F.col("members") - NAMED).cast("string"))).otherwise("")
+    merged = F.when(F.col("members") > 1, F.concat(F.lit("{"), F.array_join("names", "|"), more, F.lit("}"))).otherwise(F.col("names")[0])
+    return clusters.join(first.select(*group, merged.alias("merged")), group).select("host", "prefix", "segment", "merged")
 
 
-def path_templates(
-    paths: DataFrame, depth: int = DEPTH, literal_share: float = LITERAL_SHARE, least_literal: int = LEAST_LITERAL
-) -> DataFrame:
+def path_templates(paths: DataFrame, depth: int = DEPTH, least_literal: int = LEAST_LITERAL) -> DataFrame:
     """host, path, template for distinct (host, path) with counts n, labelled, blocked."""
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
     cut = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
@@ -82,12 +141,7 @@ def path_templates(
     for k in range(levels):
         here = at.filter(F.size("segments") > k).withColumn("segment", F.element_at("segments", k + 1))
         counts = here.groupBy("host", "prefix", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        nodes = counts.groupBy("host", "prefix").agg(F.sum("n").alias("all_n"))
-        literal = (F.col("n") >= least_literal) & (F.col("n") >= literal_share * F.col("all_n"))
-        literals = materialize(
-            counts.join(nodes, ["host", "prefix"]).filter(literal).withColumnRenamed("segment", "branch").drop("n", "all_n"), "literals"
-        )
-        merged = _merge_branches(literals).withColumnRenamed("branch", "segment")
+        merged = _branches(materialize(counts, "counts"), least_literal)
         at = materialize(
             at.withColumn("segment", F.get("segments", F.lit(k)))
             .join(merged, ["host", "prefix", "segment"], "left")

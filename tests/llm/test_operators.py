@@ -296,6 +296,26 @@ def test_url_templates_reject_by_purity(spark):
     assert got[200]["template"] == "/spam/*/a" and got[201]["template"] == "/news/*/a"
 
 
+def test_small_sections_are_judged_by_their_own_labels(spark):
+    urls = [(f"/en/{k}", 0) for k in range(900)] + [(f"/spam/{k}", 1 if k < 30 else None) for k in range(40)]
+    urls += [(f"/s{j}/{k}", 0 if k < 10 else None) for j in range(4) for k in range(15)] + [(f"/plain/{k}", None) for k in range(20)]
+    rows = [(k, f"http://hot.x{path}", bad) for k, (path, bad) in enumerate(urls)]
+    # /de/ has under 5 % of the urls and all labels; /fr/ and /it/ have none.
+    other = [(f"/en/{k}", None) for k in range(200)] + [(f"/de/{k}", 1) for k in range(6)] + [(f"/fr/{k}", None) for k in range(6)] + [("/it/1", None)]
+    rows += [(k + 5000, f"http://w.y{path}", bad) for k, (path, bad) in enumerate(other)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = url_templates.judge_urls(df, rules=(), label_col="bad").collect()
+    blocked = {(r["host"], r["path"]) for r in got if r["verdict"] == "block"}
+    assert blocked == {("hot.x", f"/spam/{k}") for k in range(40)} | {("w.y", f"/de/{k}") for k in range(6)}
+
+
+def test_many_sections_keep_their_own_verdicts(spark):
+    rows = [(100 * j + k, f"http://h.x/s{j}/{k}", j % 2) for j in range(60) for k in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = url_templates.judge_urls(df, rules=(), label_col="bad").collect()
+    assert len(got) == 600 and all((r["verdict"] == "block") == (r["page_id"] // 100 % 2 == 1) for r in got)
+
+
 def test_pipeline_keeps_clean_and_drops_bad(spark, tmp_path):
     import corpus_pipeline
 
