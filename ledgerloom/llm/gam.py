@@ -11,7 +11,7 @@ covers every row. Labels, language, source and id are never features.
 Defined results: a null text is an empty one and is scored like any other; ids labelled more than
 once are learned by their mean label if it is decided (ties and null labels are left out); without
 two classes to learn from, every score is the share of label 1 (0.5 without labels); repeated rows
-and extra columns have no effect; an empty table gives an empty table.
+and extra columns have no effect (of different texts of one id one is learned, by a hash); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -231,15 +231,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
     """Learn from ``labels`` (id, label) of ``docs``; the rows that reach the driver are bounded by ``max_rows``."""
     sample = label_sample(labels, id_col, label_col, max_rows)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = slim.join(F.broadcast(sample), "id").select("label", "text")
+    joined = slim.join(F.broadcast(sample), "id").select("label", "text", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, x in _with_features(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in x.T]], names=["label", *FEATURES])
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), *[pa.array(c) for c in x.T]], names=["id", "label", *FEATURES])
 
-    rows = arrow_map(joined, run, "label int, " + ", ".join(f"{f} double" for f in FEATURES))
-    # A repeated document must not lift the bound.
-    data = np.array([list(r) for r in rows.orderBy(*rows.columns).limit(max_rows).collect()], np.float64).reshape(-1, len(FEATURES) + 1)
+    found = arrow_map(joined, run, f"id {dict(joined.dtypes)['id']}, label int, " + ", ".join(f"{f} double" for f in FEATURES))
+    # One row an id, so that repeated documents neither weigh more nor lift the bound; of different texts that of the smallest hash.
+    rows = found.groupBy("id").agg(F.min(F.struct(F.xxhash64(*FEATURES).alias("hash"), "label", *FEATURES)).alias("row")).select("row.label", *[f"row.{f}" for f in FEATURES])
+    data = np.array([list(r) for r in rows.orderBy(*rows.columns).collect()], np.float64).reshape(-1, len(FEATURES) + 1)
     return train_gam(data[:, 1:], data[:, 0])
 
 

@@ -58,6 +58,17 @@ def test_gam(docs, none, labels):
     assert {r["score"] for r in gam.score_quality(docs, empty).collect()} == {0.5}
 
 
+def test_gam_bound_takes_repeated_rows_once(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [(k, bad(rng, 20 + k) if k % 2 == 0 else good(rng, 20 + k)) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got = []
+    monkeypatch.setattr(gam, "train_gam", lambda x, y: got.append((x, y)))
+    for copies in (1, 3):
+        gam.fit_quality(spark.createDataFrame(texts * copies, "doc_id long, text string"), labels, max_rows=40)
+    assert got[1][1].mean() == 0.5 and (got[0][0] == got[1][0]).all() and (got[0][1] == got[1][1]).all()
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
