@@ -4,7 +4,12 @@
 ``area_resize`` averages exact pixel areas by an integral image, ``difference_hash`` compares
 neighbours of a 9 x 8 reduction, and ``npy_tile`` writes the resized array in NPY format.
 
-Defined results: a null or empty text is a payload of 64 zero bytes; rows are independent, so
+``decode_media`` reads P1 to P6 of any depth and BMP of 1, 4, 8, 16, 24 and 32 bits a pixel, with
+bit fields; run-length coded BMP is not decoded. Samples are scaled to the whole range of uint8, or
+of uint16 where the file has more than 8 bits a sample.
+
+Defined results: a null or empty text is a payload of 64 zero bytes; null media gives nulls but for
+its id and n_bytes, undecodable media has its media_bytes and media_sha256 besides; rows are independent, so
 repeated rows, ties and extra columns have no effect; an empty table gives an empty table.
 """
 
@@ -42,10 +47,10 @@ def encode_media(image: np.ndarray, kind: str = "pgm") -> bytes:
     raise ValueError(f"unknown media kind {kind!r}")
 
 
-def _netpbm_header(data: bytes) -> tuple[list[int], int]:
+def _netpbm_header(data: bytes, count: int) -> tuple[list[int], int]:
     fields: list[int] = []
     at = 2
-    while len(fields) < 3:
+    while len(fields) < count:
         while data[at : at + 1].isspace() or data[at : at + 1] == b"#":
             at = data.index(b"\n", at) + 1 if data[at : at + 1] == b"#" else at + 1
         end = at
@@ -56,24 +61,74 @@ def _netpbm_header(data: bytes) -> tuple[list[int], int]:
     return fields, at + 1
 
 
+def _scaled(x: np.ndarray, top: int) -> np.ndarray:
+    """Samples of 0 to ``top`` over the whole range of uint8 or, from 256 on, uint16."""
+    full, kind = (255, np.uint8) if top < 256 else (65535, np.uint16)
+    if top == full:
+        return x.astype(kind)
+    x = np.minimum(x.astype(np.uint64), top)
+    return ((x * full * 2 + top) // (2 * top)).astype(kind)
+
+
+def _decode_netpbm(data: bytes) -> np.ndarray:
+    kind = int(data[1:2])
+    fields, at = _netpbm_header(data, 2 if kind in (1, 4) else 3)
+    w, h, top = (*fields, 1)[:3]
+    if not (w and h and 0 < top < 65536):
+        raise ValueError("empty image or bad depth")
+    shape = (h, w, 3) if kind in (3, 6) else (h, w)
+    count = int(np.prod(shape))
+    if kind < 4:
+        plain = b"\n".join(line.split(b"#")[0] for line in data[at - 1 :].split(b"\n"))
+        tokens = [bytes([c]) for c in b"".join(plain.split())] if kind == 1 else plain.split()
+        if len(tokens) < count:
+            raise ValueError("too few samples")
+        x = np.array([int(t) for t in tokens[:count]], np.int64)
+    elif kind == 4:
+        stride = (w + 7) // 8
+        x = np.unpackbits(np.frombuffer(data, np.uint8, stride * h, at).reshape(h, stride), axis=1)[:, :w]
+    else:
+        x = np.frombuffer(data, np.uint8 if top < 256 else ">u2", count, at)
+    x = x.reshape(shape)
+    return _scaled(1 - np.minimum(x, 1) if kind in (1, 4) else x, top)  # 1 is black in a bitmap
+
+
+def _decode_bmp(data: bytes) -> np.ndarray:
+    at, head = (int(x) for x in np.frombuffer(data, "<u4", 2, 10))
+    old = head == 12
+    w, h = (int(x) for x in np.frombuffer(data, "<u2" if old else "<i4", 2, 18))
+    bits = int(np.frombuffer(data, "<u2", 1, 24 if old else 28)[0])
+    packed = 0 if old else int(np.frombuffer(data, "<u4", 1, 30)[0])
+    if bits not in (1, 4, 8, 16, 24, 32) or packed not in ((0, 3, 6) if bits in (16, 32) else (0,)) or w <= 0 or not h:
+        raise ValueError("BMP of an unknown depth or packing")
+    stride = (bits * w + 31) // 32 * 4
+    rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)
+    if bits <= 8:
+        used = 0 if old else int(np.frombuffer(data, "<u4", 1, 46)[0])
+        size, most = (3 if old else 4), 1 << bits
+        table = np.frombuffer(data, np.uint8, min(used or most, most) * size, 14 + head).reshape(-1, size)[:, 2::-1]
+        index = rows if bits == 8 else np.stack([rows >> s & most - 1 for s in range(8 - bits, -1, -bits)], 2).reshape(abs(h), -1)
+        out = table[index[:, :w]]
+    elif bits == 24:
+        out = rows[:, : 3 * w].reshape(abs(h), w, 3)[:, :, ::-1]
+    else:
+        pixels = np.ascontiguousarray(rows[:, : bits // 8 * w]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        masks = [0x7C00, 0x3E0, 0x1F] if bits == 16 else [0xFF0000, 0xFF00, 0xFF]
+        if packed:
+            masks = [int(x) for x in np.frombuffer(data, "<u4", 3, 54)]
+        if not all(masks):
+            raise ValueError("empty bit field")
+        low = [m & -m for m in masks]
+        out = np.stack([_scaled((pixels & m) // b, m // b) for m, b in zip(masks, low)], 2)
+    return out[::-1] if h > 0 else out
+
+
 def decode_media(data: bytes) -> np.ndarray:
-    """PGM (P5), PPM (P6) or uncompressed 24-bit BMP bytes as a uint8 array."""
-    if data[:2] in (b"P5", b"P6"):
-        (w, h, top), at = _netpbm_header(data)
-        if top != 255:
-            raise ValueError("only 8-bit samples are supported")
-        depth = 1 if data[:2] == b"P5" else 3
-        flat = np.frombuffer(data, np.uint8, w * h * depth, at)
-        return flat.reshape(h, w) if depth == 1 else flat.reshape(h, w, 3)
+    """Netpbm (P1 to P6) or uncompressed BMP bytes as an array of uint8 (uint16 for deeper samples)."""
+    if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
+        return _decode_netpbm(data)
     if data[:2] == b"BM":
-        at = int(np.frombuffer(data, "<u4", 1, 10)[0])
-        w, h = (int(x) for x in np.frombuffer(data, "<i4", 2, 18))
-        bits, packed = int(np.frombuffer(data, "<u2", 1, 28)[0]), int(np.frombuffer(data, "<u4", 1, 30)[0])
-        if bits != 24 or packed:
-            raise ValueError("only uncompressed 24-bit BMP is supported")
-        stride = (3 * w + 3) // 4 * 4
-        rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : 3 * w].reshape(abs(h), w, 3)
-        return (rows[::-1] if h > 0 else rows)[:, :, ::-1]
+        return _decode_bmp(data)
     raise ValueError("neither Netpbm nor BMP")
 
 
@@ -105,7 +160,8 @@ def difference_hash(image: np.ndarray) -> str:
 def npy_tile(image: np.ndarray, side: int = 16) -> bytes:
     """The image reduced to ``side`` x ``side`` uint8 samples, in NPY format."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, side, side)), 0, 255).astype(np.uint8))
+    small = area_resize(image, side, side) / (257 if image.dtype == np.uint16 else 1)
+    np.save(out, np.clip(np.rint(small), 0, 255).astype(np.uint8))
     return out.getvalue()
 
 
@@ -137,7 +193,13 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for b in batches:
             rows = []
             for n, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                image = decode_media(m)
+                try:
+                    image = decode_media(m) if m is not None else None
+                except (ValueError, IndexError, OverflowError):
+                    image = None
+                if image is None:
+                    rows.append((n, None, None, None, None if m is None else len(m), None if m is None else hashlib.sha256(m).hexdigest(), None, None))
+                    continue
                 payload = (image if image.ndim == 2 else image[:, :, 0]).tobytes()
                 rows.append(
                     (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), difference_hash(image), npy_tile(image))

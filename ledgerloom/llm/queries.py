@@ -74,7 +74,7 @@ def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import text_media_features
 
-    return text_media_features(table(spark, sf_dir, "documents")).drop("tile_npy")
+    return text_media_features(table(spark, sf_dir, "documents"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,43 @@ def test_media_round_trip(kind):
     assert (media.decode_media(media.encode_media(image, kind)) == image).all()
 
 
+def bmp(bits, w, h, rows, table=b"", masks=b""):
+    at = 54 + len(table) + len(masks)
+    head = b"BM" + np.array([at + len(rows), 0, at, 40], "<u4").tobytes() + np.array([w, h], "<i4").tobytes() + np.array([1, bits], "<u2").tobytes()
+    return head + np.array([3 if masks else 0, len(rows), 0, 0, len(table) // 4, 0], "<u4").tobytes() + masks + table + rows
+
+
+PALETTE = bytes([0, 0, 0, 0, 255, 0, 0, 0, 3, 2, 1, 0])  # black, blue, (1, 2, 3)
+
+
+@pytest.mark.parametrize(
+    "data, want",
+    [
+        (b"P1\n# c\n3 2\n1 0 1\n011", [[0, 255, 0], [255, 0, 0]]),
+        (b"P4\n3 2\n" + bytes([0b10100000, 0b01100000]), [[0, 255, 0], [255, 0, 0]]),
+        (b"P2\n2 1\n15\n15 3", [[255, 51]]),
+        (b"P3 1 1 255 1 2 3", [[[1, 2, 3]]]),
+        (b"P5 2 1 65535\n" + bytes([1, 2, 255, 255]), [[258, 65535]]),
+        (b"P6 1 1 1023\n" + bytes([3, 255, 0, 0, 0, 0]), [[[65535, 0, 0]]]),
+        (bmp(1, 2, 1, bytes([0b01000000, 0, 0, 0]), PALETTE[:8]), [[[0, 0, 0], [0, 0, 255]]]),
+        (bmp(4, 3, 1, bytes([0x12, 0x00, 0, 0]), PALETTE), [[[0, 0, 255], [1, 2, 3], [0, 0, 0]]]),
+        (bmp(8, 1, 2, bytes([2, 0, 0, 0, 1, 0, 0, 0]), PALETTE), [[[0, 0, 255]], [[1, 2, 3]]]),
+        (bmp(16, 1, -1, np.array([0x7C1F, 0], "<u2").tobytes()), [[[255, 0, 255]]]),
+        (bmp(32, 1, 1, bytes([3, 2, 1, 9])), [[[1, 2, 3]]]),
+        (bmp(32, 1, 1, bytes([1, 2, 3, 9]), masks=np.array([0xFF, 0xFF00, 0xFF0000], "<u4").tobytes()), [[[1, 2, 3]]]),
+    ],
+)
+def test_media_depths(data, want):
+    assert media.decode_media(data).tolist() == want
+
+
+def test_media_without_image(spark):
+    rows = [(1, 3, None), (2, 3, b"GIF89a"), (3, 3, b""), (4, 3, b"P5 9 9 255\nx"), (5, 3, b"P5\n1 1\n255\n\x07")]
+    got = {r["doc_id"]: r for r in media.media_features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(got) == 5 and all(got[k]["payload_sha256"] is None and got[k]["tile_npy"] is None for k in range(1, 5))
+    assert got[1]["media_bytes"] is None and got[2]["media_sha256"] == hashlib.sha256(b"GIF89a").hexdigest() and got[5]["payload_bytes"] == 1
+
+
 def test_area_resize_against_brute_force():
     image = np.random.default_rng(2).integers(0, 256, (6, 8)).astype(float)
     fine = np.repeat(np.repeat(image, 5, 0), 3, 1)  # 30 x 24, divisible by 5 x 6
