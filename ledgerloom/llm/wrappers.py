@@ -17,7 +17,7 @@ aggregation, so a host with a third of all pages is no task of its own.
 Defined results: a null or empty html, or a page without content, gives an empty text; pages without
 a host share the host ''; repeated rows give repeated results; a page all of whose content would be
 template keeps it; extra columns are ignored; an empty table gives an empty table. Nothing is capped;
-skeletons too large for tree matching (beyond ``MATCH_CELLS`` node pairs) are aligned by label paths.
+skeletons of more than ``MATCH_CELLS`` node pairs are aligned by the same matching in linear memory.
 """
 
 from __future__ import annotations
@@ -262,13 +262,13 @@ def tree_match(a: str, b: str) -> list[int]:
     out = [-1] * len(la)
     if a == b:
         return list(range(len(la)))
-    if len(la) * len(lb) > MATCH_CELLS:
-        return _path_match(la, pa_, lb, pb)
     ka, kb = [[] for _ in la], [[] for _ in lb]
     for kids, parents in ((ka, pa_), (kb, pb)):
         for k, p in enumerate(parents):
             if p >= 0:
                 kids[p].append(k)
+    if len(la) * len(lb) > MATCH_CELLS:
+        return _large_match(la, ka, lb, kb)
     size: dict[tuple[int, int], int] = {}
 
     def table(x: int, y: int) -> list[list[int]]:
@@ -309,24 +309,99 @@ def tree_match(a: str, b: str) -> list[int]:
     return out
 
 
-def _path_match(la: list[str], pa_: list[int], lb: list[str], pb: list[int]) -> list[int]:
-    """Nodes of equal label paths, the k-th with the k-th."""
-
-    def paths(labels: list[str], parents: list[int]) -> list[int]:
-        out: list[int] = []
-        for label, p in zip(labels, parents):
-            out.append(hash((label, out[p] if p >= 0 else 0)))
+def _large_match(la: list[str], ka: list[list[int]], lb: list[str], kb: list[list[int]]) -> list[int]:
+    """Simple tree matching of large trees: alike subtrees are compared once, equal ends of child
+    lists are matched at once, and a long child list is halved (Hirschberg) instead of tabled."""
+    known: dict[tuple[str, tuple[int, ...]], int] = {}
+    label: list[str] = []
+    kids: list[tuple[int, ...]] = []
+    count: list[int] = []
+
+    def subtrees(labels: list[str], children: list[list[int]]) -> list[int]:
+        out = [0] * len(labels)
+        for x in range(len(labels) - 1, -1, -1):
+            key = labels[x], tuple(out[k] for k in children[x])
+            if key not in known:
+                known[key] = len(label)
+                label.append(key[0])
+                kids.append(key[1])
+                count.append(1 + sum(count[k] for k in key[1]))
+            out[x] = known[key]
         return out
 
-    where: dict[int, list[int]] = defaultdict(list)
-    for k, p in enumerate(paths(lb, pb)):
-        where[p].append(k)
-    used: dict[int, int] = defaultdict(int)
-    out = []
-    for p in paths(la, pa_):
-        k = used[p]
-        used[p] += 1
-        out.append(where[p][k] if k < len(where[p]) else -1)
+    ta, tb = subtrees(la, ka), subtrees(lb, kb)
+    memo: dict[tuple[int, int], int] = {}
+
+    def size(c: int, d: int) -> int:
+        if label[c] != label[d]:
+            return 0
+        if c == d:
+            return count[c]
+        if not kids[c] or not kids[d]:
+            return 1
+        found = memo.get((c, d))
+        if found is None:
+            a, b = kids[c], kids[d]
+            lo, hi = ends(a, b)
+            found = 1 + sum(count[k] for k in a[:lo]) + sum(count[k] for k in a[len(a) - hi :]) + last_row(a[lo : len(a) - hi], b[lo : len(b) - hi])[-1]
+            if len(memo) >= MATCH_CELLS:
+                memo.clear()
+            memo[c, d] = found
+        return found
+
+    def ends(a, b) -> tuple[int, int]:
+        """Lengths of the equal start and, after it, the equal end."""
+        most = min(len(a), len(b))
+        lo = next((k for k in range(most) if a[k] != b[k]), most)
+        hi = next((k for k in range(most - lo) if a[-1 - k] != b[-1 - k]), most - lo)
+        return lo, hi
+
+    def last_row(a, b) -> list[int]:
+        row = [0] * (len(b) + 1)
+        alike = set(b)
+        for c in a:
+            sizes = {d: size(c, d) for d in alike}
+            corner = 0
+            for j, d in enumerate(b, 1):
+                above = row[j]
+                best = above if above >= row[j - 1] else row[j - 1]
+                s = sizes[d]
+                if s and corner + s > best:
+                    best = corner + s
+                row[j] = best
+                corner = above
+        return row
+
+    def pairs(a, b) -> list[tuple[int, int]]:
+        """The matched positions of two lists of subtrees."""
+        found, todo = [], [(0, len(a), 0, len(b))]
+        while todo:
+            i, n, j, m = todo.pop()
+            lo, hi = ends(a[i:n], b[j:m])
+            found += [(i + k, j + k) for k in range(lo)] + [(n - 1 - k, m - 1 - k) for k in range(hi)]
+            i, n, j, m = i + lo, n - hi, j + lo, m - hi
+            if n - i < 1 or m - j < 1:
+                continue
+            if n - i == 1:
+                s, at = max((size(a[i], b[k]), -k) for k in range(j, m))
+                if s:
+                    found.append((i, -at))
+                continue
+            half = (i + n) // 2
+            front, back = last_row(a[i:half], b[j:m]), last_row(a[half:n][::-1], b[j:m][::-1])
+            cut = j + max(range(m - j + 1), key=lambda k: front[k] + back[m - j - k])
+            todo += [(i, half, j, cut), (half, n, cut, m)]
+        return found
+
+    out = [-1] * len(la)
+    todo = [(0, 0)] if la and lb and la[0] == lb[0] else []
+    while todo:
+        x, y = todo.pop()
+        if ta[x] == tb[y]:
+            out[x : x + count[ta[x]]] = range(y, y + count[ta[x]])
+            continue
+        out[x] = y
+        todo += [(ka[x][i], kb[y][j]) for i, j in pairs([ta[k] for k in ka[x]], [tb[k] for k in kb[y]]) if label[ta[ka[x][i]]] == label[tb[kb[y][j]]]]
     return out
 
 

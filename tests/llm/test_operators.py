@@ -314,6 +314,25 @@ def test_tree_match():
     assert wrappers.parse_page("<a '" * 3000)[1] == []
 
 
+def test_large_skeletons_are_matched_like_small_ones(monkeypatch):
+    rng = random.Random(3)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.randrange(5))] if depth else []
+        return rng.choice("abc") + ("(" + ",".join(kids) + ")" if kids else "")
+
+    cases = [("#(" + tree(3) + "," + tree(3) + ")", "#(" + tree(3) + "," + tree(3) + ")") for _ in range(60)]
+    want = [sum(x >= 0 for x in wrappers.tree_match(a, b)) for a, b in cases]
+    items = ",".join(f"p.{'ab'[k % 2]}" for k in range(2500))
+    large = wrappers.tree_match(f"#(p.b,{items},p.notice)", f"#({items},p.notice)")
+    # The extra sibling stays alone; all later ones keep their nodes.
+    assert large[1] == -1 and large[2:] == list(range(1, 2502))
+    monkeypatch.setattr(wrappers, "MATCH_CELLS", 0)
+    got = [wrappers.tree_match(a, b) for a, b in cases]
+    assert [sum(x >= 0 for x in m) for m in got] == want
+    assert all(len({y for y in m if y >= 0}) == sum(y >= 0 for y in m) for m in got)
+
+
 def test_url_rules_and_parts(spark):
     cases = [
         ("http://A.b.NET/x?q", "a.b.net", "/x", "net/", "block"),
