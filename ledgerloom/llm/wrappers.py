@@ -8,8 +8,9 @@
    varying slots are content. Copies of one article count once, and hosts with few different pages
    have no template.
 4. Blocks of menus, page headers, footers, sidebars, notices, adverts, forms and reader comments go
-   by element and by the words of class, id and role; what is left inside the article (or main
-   part, or body) is the text.
+   by element and by the words of class, id and role; inside the content root only whole names of
+   class and role count. The root is the innermost of article, main part, marked container and body
+   that holds at least half of the varying text; what is left inside it is the text.
 
 Parsing and alignment run page by page and skeleton by skeleton; all counting is grouped
 aggregation, so a host with a third of all pages is no task of its own.
@@ -43,7 +44,8 @@ MAX_DEPTH = 200
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Any attribute, so that no value is read as a name.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 #: Their insides are no markup and no text of the page.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "svg", "math", "object", "canvas", "audio", "video", "head"}
 BLOCK = set(
@@ -73,10 +75,20 @@ class _Node:
         self.label, self.kids, self.sig, self.index = label, [], "", 0
 
 
-def _words(attributes: str) -> tuple[str, set[str]]:
+def _words(attributes: str) -> tuple[str, set[str], set[str], bool]:
+    """Name of the element, words of its class, id and role, whole names of class and role, whether its role is main."""
     values = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)]
+    values = [(k, v) for k, v in values if k in ("class", "id", "role")]
     name = next((v for k, v in values if k == "class"), "") or next((v for k, v in values if k == "id"), "")
-    return re.sub(r"[^a-z-]+", "", name.lower().split(" ")[0] if name else ""), set(re.split(r"[^a-z]+", " ".join(v for _, v in values).lower())) - {""}
+    words = set(re.split(r"[^a-z]+", " ".join(v for _, v in values).lower())) - {""}
+    whole = {x for k, v in values if k != "id" for x in v.lower().split()}
+    return re.sub(r"[^a-z-]+", "", name.lower().split(" ")[0] if name else ""), words, whole, any(k == "role" and "main" in v.lower().split() for k, v in values)
+
+
+def _root_level(blocks: list[tuple[int, str, int]]) -> int:
+    """The highest level that holds at least half of the text."""
+    total = sum(len(t) for _, t, level in blocks if level >= 0)
+    return next((k for k in (3, 2, 1) if 2 * sum(len(t) for _, t, level in blocks if level >= k) >= total), 0)
 
 
 def _fold(node: _Node) -> None:
@@ -130,14 +142,16 @@ def _number(node: _Node) -> None:
             leaders.append((k, runs[i]))
 
 
-def parse_page(page: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
-    """(skeleton, blocks) of a page; a block is (node number, text, whether it may be content)."""
+def parse_page(page: str | None) -> tuple[str, list[tuple[int, str, int]]]:
+    """(skeleton, blocks) of a page; a block is (node number, text, level), its level the highest
+    level of content root in which it is content: 3 article, 2 main part, 1 marked container, 0 body,
+    -1 never."""
     page = page or ""
     root = _Node("#")
-    # (tag, node, dropped, level of content root)
-    stack: list[tuple[str, _Node, bool, int]] = [("#", root, False, 0)]
+    # (tag, node, dropped, level of content root, lowest level outside a loosely marked element)
+    stack: list[tuple[str, _Node, bool, int, int]] = [("#", root, False, 0, 3)]
     texts: list[str] = []
-    blocks: list[tuple[_Node, str, bool, int]] = []
+    blocks: list[tuple[_Node, str, int]] = []
     inline_drop = 0
     inline_tag = ""
 
@@ -146,8 +160,8 @@ def parse_page(page: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
             text = " ".join(html_lib.unescape("".join(texts)).split())
             texts.clear()
             if text:
-                _, node, drop, level = stack[-1]
-                blocks.append((node, text, drop, level))
+                _, node, drop, level, loose = stack[-1]
+                blocks.append((node, text, -1 if drop or not loose else min(level, loose)))
 
     at, n = 0, len(page)
     lower = None
@@ -198,7 +212,7 @@ def parse_page(page: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
                 texts.append(" ")
             if closing or attributes.endswith("/"):
                 continue
-            if tag in DROP_TAGS or attributes and _words(attributes)[1] & DROP_WORDS:
+            if tag in DROP_TAGS or attributes and _words(attributes)[2 if stack[-1][3] else 1] & DROP_WORDS:
                 if tag not in SPACED:
                     inline_drop, inline_tag = 1, tag
             continue
@@ -217,23 +231,23 @@ def parse_page(page: str | None) -> tuple[str, list[tuple[int, str, bool]]]:
                 break
             if open_tag in ("ul", "ol", "dl", "table", "div", "article", "section", "main"):
                 break
-        name, words = _words(attributes) if attributes else ("", set())
-        _, parent, drop, level = stack[-1]
+        name, words, whole, is_main = _words(attributes) if attributes else ("", set(), set(), False)
+        _, parent, drop, level, loose = stack[-1]
         if tag not in ("html", "body"):
-            mark = words & DROP_WORDS
-            if tag in ("article", "main"):
-                mark &= {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "comments", "related", "recommended"}
-            drop = drop or tag in DROP_TAGS or bool(mark) or level < 2 and (tag == "header" or bool(words & HEADER_WORDS))
-        level = max(level, 3 if tag == "article" else 2 if tag == "main" or "main" in words and "role" in attributes.lower() else 1 if words & ROOT_WORDS and tag not in ("html", "body") else 0)
+            marks = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "comments", "related", "recommended"} if tag in ("article", "main") else DROP_WORDS
+            drop = drop or tag in DROP_TAGS or bool(whole & marks) or level < 2 and (tag == "header" or bool(whole & HEADER_WORDS))
+            # A mark by one word counts unless it is inside the root.
+            if words & marks or level < 2 and words & HEADER_WORDS:
+                loose = min(loose, level)
+        level = max(level, 3 if tag == "article" else 2 if tag == "main" or is_main else 1 if words & ROOT_WORDS and tag not in ("html", "body") else 0)
         node = _Node(f"{tag}.{name}" if name else tag)
         (parent if len(stack) <= MAX_DEPTH else stack[MAX_DEPTH][1]).kids.append(node)
         if tag != "hr" and not attributes.endswith("/"):
-            stack.append((tag, node, drop, level))
+            stack.append((tag, node, drop, level, loose))
     flush()
     _fold(root)
     _number(root)
-    best = max((level for _, _, drop, level in blocks if not drop), default=0)
-    return root.sig, [(node.index, text, not drop and level == best) for node, text, drop, level in blocks]
+    return root.sig, [(node.index, text, level) for node, text, level in blocks]
 
 
 def read_skeleton(skeleton: str) -> tuple[list[str], list[int]]:
@@ -417,23 +431,24 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        kind = pa.list_(pa.struct([("n", pa.int32()), ("h", pa.int64()), ("t", pa.string())]))
+        kind = pa.list_(pa.struct([("n", pa.int32()), ("h", pa.int64()), ("t", pa.string()), ("l", pa.int32())]))
         for b in batches:
             skeletons, shapes, digests, blocks = [], [], [], []
             for page in b.column(3).to_pylist():
                 skeleton, found = parse_page(page)
-                kept = [(n, t) for n, t, content in found if content]
+                kept = [b for b in found if b[2] >= 0]
+                least = _root_level(kept)
                 skeletons.append(skeleton)
                 shapes.append(xxhash.xxh3_128_hexdigest(skeleton))
-                digests.append(xxhash.xxh3_128_hexdigest("\n".join(t for _, t in kept)))
-                blocks.append([{"n": n, "h": xxhash.xxh3_64_intdigest(t) - (1 << 63), "t": t} for n, t in kept])
+                digests.append(xxhash.xxh3_128_hexdigest("\n".join(t for _, t, level in kept if level >= least)))
+                blocks.append([{"n": n, "h": xxhash.xxh3_64_intdigest(t) - (1 << 63), "t": t, "l": level} for n, t, level in kept])
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:3], pa.array(skeletons), pa.array(shapes), pa.array(digests), pa.array(blocks, kind)],
                 names=["id", "url", "host", "skeleton", "shape", "digest", "blocks"],
             )
 
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    schema = f"id {dict(slim.dtypes)['id']}, url string, host string, skeleton string, shape string, digest string, blocks array<struct<n:int,h:bigint,t:string>>"
+    schema = f"id {dict(slim.dtypes)['id']}, url string, host string, skeleton string, shape string, digest string, blocks array<struct<n:int,h:bigint,t:string,l:int>>"
     return arrow_map(slim, run, schema)
 
 
@@ -478,5 +493,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", F.struct(F.element_at("places", b["n"] + 1).alias("node"), b["h"].alias("h"))), F.lit(False))),
     )
     chosen = F.when(F.size("varying") > 0, F.col("varying")).otherwise(F.col("blocks"))
-    text = F.array_join(F.transform(chosen, lambda b: b["t"]), "\n")
-    return joined.select(F.col("id").alias(id_col), "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+    def amount(level: int) -> Column:
+        return F.aggregate(F.filter("chosen", lambda b: b["l"] >= level), F.lit(0), lambda a, b: a + F.length(b["t"]))
+
+    root = F.when(2 * amount(3) >= amount(0), 3).when(2 * amount(2) >= amount(0), 2).when(2 * amount(1) >= amount(0), 1).otherwise(0)
+    rooted = joined.withColumn("chosen", chosen).withColumn("root", root)
+    text = F.array_join(F.transform(F.filter("chosen", lambda b: b["l"] >= F.col("root")), lambda b: b["t"]), "\n")
+    return rooted.select(F.col("id").alias(id_col), "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -333,6 +333,20 @@ def test_large_skeletons_are_matched_like_small_ones(monkeypatch):
     assert all(len({y for y in m if y >= 0}) == sum(y >= 0 for y in m) for m in got)
 
 
+def test_marks_drop_no_article_text(spark):
+    body = "<p>" + "main text " * 20 + "</p>"
+    pages = [
+        f'<article>{body}<p>see <a href="/x?id=reply" data-id="share">this link</a></p></article>',
+        f'<article>{body}<h2 id="social-impact">Impact</h2><section id="search-results" class="ad-hoc">Found</section><div class="share">no</div></article>',
+        f'<div><div id="cookie-box">no</div>{body}</div><article class=card>teaser</article>',
+        f'<div id="related-links"><p>no</p></div><article>{body}</article><p>out</p>',
+    ]
+    df = spark.createDataFrame([(k, f"http://h{k}.x/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = [r["text"] for r in wrappers.extract_main_text(df).orderBy("page_id").collect()]
+    text = ("main text " * 20).strip()
+    assert got == [text + "\nsee this link", text + "\nImpact\nFound", text + "\nteaser", text]
+
+
 def test_url_rules_and_parts(spark):
     cases = [
         ("http://A.b.NET/x?q", "a.b.net", "/x", "net/", "block"),
