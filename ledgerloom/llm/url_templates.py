@@ -15,7 +15,8 @@ nor the number of branches of a node is capped: nodes are summed by aggregation,
 merged in one sorted pass that holds one row at a time.
 
 Defined results: a null url or one without :// has host and path '' (no rule fits, and its template
-is judged like any other); segments beyond ``DEPTH`` count as one ``**``; repeated rows count as
+is judged like any other); beyond ``DEPTH`` segments only
+nodes whose labels could still differ grow, and the rest of a path counts as one ``**``; repeated rows count as
 often as they occur; extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -33,6 +34,7 @@ from .wrappers import url_host
 
 #: (verdict, rule); a rule is a host suffix and a path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Levels that every branch has; further ones grow where labels could differ.
 DEPTH = 5
 LEAST_LITERAL = 3
 #: So many different segments of fewer than LEAST_LITERAL urls make a position variable.
@@ -135,10 +137,22 @@ def _branches(counts: DataFrame, least_literal: int) -> DataFrame:
 def path_templates(paths: DataFrame, depth: int = DEPTH, least_literal: int = LEAST_LITERAL) -> DataFrame:
     """host, path, template for distinct (host, path) with counts n, labelled, blocked."""
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    cut = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
-    at = materialize(paths.withColumn("segments", cut).withColumn("prefix", F.lit("")), "paths")
-    levels = at.agg(F.max(F.size("segments"))).first()[0] or 0
-    for k in range(levels):
+    at = materialize(paths.withColumn("segments", parts).withColumn("prefix", F.lit("")), "paths")
+    k = 0
+    while (at.agg(F.max(F.size("segments"))).first()[0] or 0) > k:
+        if k >= depth:
+            # No split of fewer or more uniform labels than these could be significant.
+            sums = at.filter(F.size("segments") > k).groupBy("host", "prefix").agg(F.sum("labelled").cast("double").alias("l"), F.sum("blocked").cast("double").alias("b"))
+            grows = sums.filter(-2 * _likelihood(F.col("b"), F.col("l")) > DIFFER**2).select("host", "prefix", F.lit(True).alias("grows"))
+            ends = F.col("grows").isNull() & (F.size("segments") > k)
+            at = materialize(
+                at.join(grows, ["host", "prefix"], "left")
+                .withColumn("ends", ends)
+                .withColumn("prefix", F.when(F.col("ends"), F.concat("prefix", F.lit("/**"))).otherwise(F.col("prefix")))
+                .withColumn("segments", F.when(F.col("ends"), F.slice("segments", 1, k)).otherwise(F.col("segments")))
+                .drop("grows", "ends"),
+                "paths",
+            )
         here = at.filter(F.size("segments") > k).withColumn("segment", F.element_at("segments", k + 1))
         counts = here.groupBy("host", "prefix", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
         merged = _branches(materialize(counts, "counts"), least_literal)
@@ -149,6 +163,7 @@ def path_templates(paths: DataFrame, depth: int = DEPTH, least_literal: int = LE
             .drop("segment", "merged"),
             "paths",
         )
+        k += 1
     return at.select("host", "path", F.col("prefix").alias("template"), "n", "labelled", "blocked")
 
 

@@ -397,6 +397,15 @@ def test_many_sections_keep_their_own_verdicts(spark):
     assert len(got) == 600 and all((r["verdict"] == "block") == (r["page_id"] // 100 % 2 == 1) for r in got)
 
 
+def test_deep_paths_are_told_apart(spark):
+    rows = [(100 * j + k, f"http://h.x/a/b/c/d/e/f/{s}/{k}", None if k == 29 else j) for j, s in enumerate(("news", "spam")) for k in range(30)]
+    rows += [(300 + k, f"http://clean.x/a/b/c/d/e/f/g/{k}", 0) for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r["page_id"]: r for r in url_templates.judge_urls(df, rules=(), label_col="bad").collect()}
+    assert all((r["verdict"] == "block") == (100 <= k < 200) for k, r in got.items()) and len(got) == 65
+    assert got[129]["template"] == "/a/b/c/d/e/f/spam/**" and got[300]["template"] == "/a/b/c/d/e/**"
+
+
 def test_pipeline_keeps_clean_and_drops_bad(spark, tmp_path):
     import corpus_pipeline
 
