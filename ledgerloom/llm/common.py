@@ -21,8 +21,6 @@ from ..sources.tables import read_table
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch. Texts can be long, and a batch is held in a Python worker.
-BATCH_ROWS = 256
 #: Bytes of text that the vectorised operators work on at once.
 CHUNK_BYTES = 1 << 20
 
@@ -35,11 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a local temporary folder. The
-    folder goes when the JVM ends.
+    A session without that setting gets a local temporary folder if it is a local one (tests, a
+    laptop); on a cluster, where a local folder is not shared, that is an error. The folder goes when
+    the JVM ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom-work")
     path = f"{base.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
     jvm = spark.sparkContext._jvm
@@ -65,11 +66,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 def arrow_map(
     df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows."""
+    """``mapInArrow``; Spark's own limit of bytes (64 MB unless set) bounds a batch of long texts."""
     ship_package(df.sparkSession)
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(f, schema)
 
 
@@ -113,7 +111,6 @@ def running_totals(df: DataFrame, order: list[Column], values: list[str], name:
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *[f"{v}_before" for v in values], "__pid"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     done = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(sums, out), name)
     totals = done.groupBy("__pid").agg(*[F.sum(v).alias(v) for v in values]).collect()
     offsets: list[dict[int, int]] = []

@@ -21,21 +21,22 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..plans.shipping import ship_package
-from .common import BATCH_ROWS, arrow_map, text_chunks, work_dir
-from .pretokens import Pieces, doubtful
+from .common import CHUNK_BYTES, arrow_map, materialize, work_dir
+from .pretokens import Kept, byte_letters, classes, coarse_pieces, spaced_pieces, text_groups, unclear, word_and_marks
 
 MAGIC = b"DAC1"
 SPAN = 512
 BLOCK_TOKENS = 1 << 18
-CACHE = 300_000
+#: Runs whose codes a worker keeps.
+CACHE = 400_000
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -106,53 +107,69 @@ class DacBlock:
         return out
 
 
+class UnclearBoundary(Exception):
+    """The space before a run may be inside a piece."""
+
+
 class ByteBpe:
-    """A byte-level vocabulary of the tokenizers library; distinct pieces are encoded once."""
+    """A byte-level vocabulary of the tokenizers library; the encodings of runs between spaces are kept.
 
-    def __init__(self, path: str):
+    A space is where a piece begins unless white space stands on both sides of it, so a text is coded
+    run by run; new runs are cut into pieces, and the library's model codes each.
+    """
+
+    def __init__(self, path: str, sets: tuple[str, str, str]):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _forms(self, forms: list[bytes]) -> list[np.ndarray]:
-        known = self.known
-        new = [f for f in forms if f not in known]
-        fresh = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = self.library.encode_batch([f.decode("utf-8", "surrogatepass") for f in part], add_special_tokens=False)
-            fresh |= {f: np.array(e.ids, np.uint32) for f, e in zip(part, coded)}
-        out = [fresh[f] if f in fresh else known[f] for f in forms]
-        if len(known) < CACHE:
-            known |= fresh
-        return out
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        self.letters = dict(enumerate(byte_letters()))
+        self.pieces, self.coarse, self.unclear = spaced_pieces(sets), coarse_pieces(sets), unclear(sets)
+        self.runs = Kept(self.run, CACHE)  # codes of a run and the space before it
+        self.parts = Kept(self.piece, CACHE // 4)
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece (little-endian, 32 bits each)."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def run(self, run: str) -> bytes:
+        """The ids of a run and the space before it."""
+        word = word_and_marks(run)
+        if word is None:
+            if self.unclear.match(run):
+                raise UnclearBoundary
+            return self.stretch(" " + run)
+        return self.piece(" " + word) if len(word) == len(run) else self.runs[word] + self.parts[run[len(word) :]]
+
+    def special_in(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def stretch(self, text: str) -> bytes:
+        """The ids of a text that begins and ends at piece boundaries."""
+        if self.special_in(text):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.parts.__getitem__, self.pieces.findall(text)))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the library gives them."""
-        whole = {
-            k: np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
-            for k, t in enumerate(texts)
-            if any(s in t for s in self.special) or doubtful(t)
-        }
-        split = Pieces(["" if k in whole else t for k, t in enumerate(texts)], spaced=True)
-        coded = self._forms(split.forms)
-        sizes = np.array([len(c) for c in coded], np.int64)
-        flat = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        run = sizes[split.code]
-        total = np.concatenate([[0], np.cumsum(run)])
-        ids = flat[np.repeat(starts[split.code] - total[:-1], run) + np.arange(total[-1])]
-        ends = total[split.first]
-        return [whole.get(k, ids[ends[k] : ends[k + 1]]) for k in range(len(texts))]
+        out = []
+        for text in texts:
+            head, *tail = text.split(" ")
+            try:
+                out.append(self.stretch(head) + b"".join(map(self.runs.__getitem__, tail)))
+            except UnclearBoundary:
+                out.append(self.stretch(text) if self.special_in(text) else b"".join(map(self.stretch, self.coarse.findall(text))))
+        return out
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def byte_bpe(path: str, sets: tuple[str, str, str]) -> ByteBpe:
+    return ByteBpe(path, sets)
 
 
 def default_vocabulary() -> str:
@@ -164,67 +181,70 @@ def default_vocabulary() -> str:
 def write_tokens(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0
 ) -> None:
-    """Write the token files of ``docs`` to ``path``, in ascending order of the id."""
+    """Write the token files of ``docs`` to ``path``, in ascending order of the id.
+
+    Texts are encoded where they are read; only ids are shuffled. The order is split by id, then by a
+    hash of the ids and a row number, so rows of one id need not share a task.
+    """
     spark = docs.sparkSession
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    vocab = vocabulary or default_vocabulary()
+    vocab, sets = vocabulary or default_vocabulary(), classes()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = slim.schema["id"].dataType
-    out = T.StructType(
-        [
-            T.StructField("part", T.IntegerType()),
-            T.StructField("before", T.LongType()),  # tokens before this block in its part
-            T.StructField("tokens", T.LongType()),
-            T.StructField("ids", T.ArrayType(kind)),
-            T.StructField("sizes", T.ArrayType(T.LongType())),
-            T.StructField("block", T.BinaryType()),
-        ]
-    )
+    kind = dict(slim.dtypes)["id"]
+    end = pack("<I", end_id)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(vocab, sets)
+        for b in batches:
+            for lo, texts in text_groups(b, 1, CHUNK_BYTES):
+                coded = pa.array([c + end for c in bpe.encode_all(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), coded], names=["id", "coded"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before = TaskContext.get().partitionId(), 0
-        bpe = byte_bpe(vocab)
-        names: list = []
-        held: list[np.ndarray] = []
-        size = 0
+        part, before, size = TaskContext.get().partitionId(), 0, 0
+        held: list[pa.RecordBatch] = []  # ids and codes of the documents of one block
 
-        def block(id_type: pa.DataType) -> pa.RecordBatch:
+        def block() -> pa.RecordBatch:
             nonlocal before, size
-            sizes = [len(h) for h in held]
-            row = [[part], [before], [size], [names[:]], [sizes], [dac_encode(np.concatenate(held))]]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary()]
+            names, coded = pa.concat_arrays([h.column(0) for h in held]), [c.as_py() for h in held for c in h.column(1)]
+            packed = dac_encode(np.frombuffer(b"".join(coded), "<u4"))
+            row = [
+                pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
+                pa.array([[len(c) // 4 for c in coded]], pa.list_(pa.int64())), pa.array([packed], pa.binary()),
+            ]
             before += size
             size = 0
-            names.clear()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=out.names)
+            return pa.RecordBatch.from_arrays(row, names=["part", "before", "tokens", "ids", "sizes", "block"])
 
-        id_type = None
         for b in batches:
-            id_type = b.schema.field(0).type
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in text_chunks(np.cumsum([0, *map(len, texts)])):
-                for name, coded in zip(ids[lo:hi], bpe.encode_all(texts[lo:hi])):
-                    if size and size + len(coded) + 1 > BLOCK_TOKENS:
-                        yield block(id_type)
-                    names.append(name)
-                    held.append(np.append(coded, np.uint32(end_id)))
-                    size += len(coded) + 1
-        if held:
-            yield block(id_type)
-
+            lo = 0
+            for k, n in enumerate(pc.binary_length(b.column(1)).to_pylist()):
+                if size and size + n // 4 > BLOCK_TOKENS:
+                    held.append(b.slice(lo, k - lo))
+                    lo = k
+                    yield block()
+                size += n // 4
+            held.append(b.slice(lo))
+        if size:
+            yield block()
+
+    encoded = materialize(arrow_map(slim, encode, f"id {kind}, coded binary"), "encoded")
+    # A row's number is fixed by the files just written.
+    order = [F.col("id").asc_nulls_last(), F.col("tie"), F.col("row")]
+    keyed = encoded.withColumn("tie", F.xxhash64("coded")).withColumn("row", F.monotonically_increasing_id())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.col("id").asc_nulls_last()
-    slim.repartitionByRange(parts, order).sortWithinPartitions(order, "text").mapInArrow(run, out).write.option(
-        "compression", "zstd"
+    sorted_ids = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "coded")
+    # Stored as they are, so that a block's levels and directories are at their place in the file.
+    arrow_map(sorted_ids, blocks, f"part int, before long, tokens long, ids array<{kind}>, sizes array<long>, block binary").write.option(
+        "compression", "uncompressed"
     ).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, id_kind: str = "bigint", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """One row for each document of the token files: id, start, n_tokens, ids_crc32 (and the ids)."""
+def _open(spark: SparkSession, path: str, id_kind: str) -> DataFrame:
+    """The blocks of token files, with ``first``, the tokens before each in all files."""
     blocks = spark.read.schema(f"part int, before long, tokens long, ids array<{id_kind}>, sizes array<long>, block binary").parquet(path)
     totals = sorted(blocks.groupBy("part").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: r["part"])
     offsets, so_far = [], 0  # one row for each part
@@ -232,28 +252,56 @@ def read_tokens(spark: SparkSession, path: str, id_kind: str = "bigint", id_col:
         offsets.append((r["part"], so_far))
         so_far += r["n"]
     at = spark.createDataFrame(offsets, "part int, offset long")
+    return blocks.join(F.broadcast(at), "part").withColumn("first", F.col("before") + F.col("offset"))
+
+
+def read_tokens(spark: SparkSession, path: str, id_kind: str = "bigint", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """One row for each document of the token files: id, start, n_tokens, ids_crc32 (and the ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                tokens = DacBlock(row["block"]).all().astype("<u4")
-                ends = np.cumsum(row["sizes"])
-                begins = ends - row["sizes"]
-                parts = [tokens[s:e] for s, e in zip(begins, ends)]
-                cols = [
-                    pa.array(row["ids"], b.schema.field("ids").type.value_type),
-                    pa.array(begins + row["first"]),
-                    pa.array(row["sizes"], pa.int64()),
-                    pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()),
-                ]
+            for k in range(b.num_rows):
+                row = b.slice(k, 1)
+                data = DacBlock(row.column(3)[0].as_py()).all().astype("<u4", copy=False).tobytes()
+                sizes = row.column(2).flatten().to_numpy()
+                ends = np.cumsum(sizes)
+                begins = ends - sizes
+                parts = [data[4 * s : 4 * e] for s, e in zip(begins.tolist(), ends.tolist())]
+                cols = [row.column(1).flatten(), pa.array(begins + row.column(0)[0].as_py()), pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 if with_ids:
-                    cols.append(pa.array([p.tolist() for p in parts], pa.list_(pa.int32())))
+                    cols.append(pa.array([np.frombuffer(p, "<u4").tolist() for p in parts], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = ["id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
-    first = blocks.join(F.broadcast(at), "part").select((F.col("before") + F.col("offset")).alias("first"), "ids", "sizes", "block")
     schema = f"id {id_kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return arrow_map(first, run, schema).withColumnRenamed("id", id_col)
+    return arrow_map(_open(spark, path, id_kind).select("first", "ids", "sizes", "block"), run, schema).withColumnRenamed("id", id_col)
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame, position_col: str = "position", id_kind: str = "bigint") -> DataFrame:
+    """position, token for each different position (tokens before it in all files) that the files hold.
+
+    Blocks are found by their counts alone, joined by ranges of positions; of a found block each token
+    is read by its directory, without decoding the block.
+    """
+    blocks = _open(spark, path, id_kind)
+
+    def slot(c: Column) -> Column:
+        return F.floor(c / BLOCK_TOKENS)
+
+    spans = blocks.select("part", "before", "first", "tokens").withColumn("slot", F.explode(F.sequence(slot(F.col("first")), slot(F.col("first") + F.col("tokens") - 1))))
+    wanted = positions.select(F.col(position_col).cast("long").alias("position")).distinct().withColumn("slot", slot(F.col("position")))
+    placed = wanted.join(spans, "slot").filter((F.col("position") >= F.col("first")) & (F.col("position") < F.col("first") + F.col("tokens")))
+    # No more positions than the block has tokens.
+    per_block = placed.groupBy("part", "before", "first").agg(F.collect_list(F.col("position") - F.col("first")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, at, data in zip(*(c.to_pylist() for c in b.columns)):
+                block = DacBlock(data)
+                yield pa.RecordBatch.from_arrays([pa.array([first + k for k in at], pa.int64()), pa.array([block[k] for k in at], pa.int64())], names=["position", "token"])
+
+    found = per_block.join(blocks.select("part", "before", "block"), ["part", "before"]).select("first", "at", "block")
+    return arrow_map(found, run, "position long, token long")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

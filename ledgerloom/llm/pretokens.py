@@ -1,117 +1,116 @@
-"""Vectorised splitting of many texts into the pieces that byte-pair encoding works on.
+"""Splitting of texts into the pieces that byte-pair encoding works on.
 
-Code points get one of four classes (letter, number, white space, other); piece boundaries are
-class changes, put right for a space before a word and for contractions. Code points whose class
-is not the same in the oldest and the newest Unicode data at hand make a text ``doubtful``; such
-texts are left to the tokenizer library as a whole.
+Letters, numbers and white space are what the tokenizers library's own expressions match, asked of
+it once on the driver, so no code point is of unsure class and no text is left to another path.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
-
-OTHER, LETTER, NUMBER, SPACE, DOUBTFUL = range(5)
-#: Unicode White_Space.
-WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Planes 4 to 16 hold no letters, numbers or white space in any Unicode version.
+PLANES = 0x40000
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
 @lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """The class of every code point."""
-    out = np.full(0x110000, DOUBTFUL, np.uint8)
-    for c in range(0x10000):
-        new, old = unicodedata.category(chr(c))[0], unicodedata.ucd_3_2_0.category(chr(c))[0]
-        if new == old and new != "C" or c < 0xA0:
-            out[c] = LETTER if new == "L" else NUMBER if new == "N" else OTHER
-    out[0x1F300:0x1F650] = OTHER  # pictographs
-    out[WHITE] = SPACE
+def classes() -> tuple[str, str, str]:
+    """Insides of the character classes letter, number and white space, as the library has them."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = [*range(0xD800), *range(0xE000, PLANES)]
+    text = "".join(map(chr, points))
+    out = []
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        runs = pre_tokenizers.Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str(text)
+        spans: list[tuple[int, int]] = []
+        for _, (lo, hi) in runs:
+            for a, b in ((lo, min(hi, 0xD800)), (max(lo, 0xD800), hi)):  # a run over the surrogates is two
+                if a < b:
+                    spans.append((points[a], points[b - 1]))
+        out.append("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans))
+    return out[0], out[1], out[2]
+
+
+@lru_cache(maxsize=4)
+def spaced_pieces(sets: tuple[str, str, str]) -> re.Pattern:
+    """Pieces of which a word or run takes the one space before it."""
+    letter, number, space = sets
+    return re.compile(f"{CONTRACTIONS}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+@lru_cache(maxsize=4)
+def bare_pieces(sets: tuple[str, str, str]) -> re.Pattern:
+    """Pieces without white space; every number is a piece of its own."""
+    letter, number, space = sets
+    return re.compile(f"{CONTRACTIONS}|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
+
+
+@lru_cache(maxsize=4)
+def runs(sets: tuple[str, str, str]) -> re.Pattern:
+    """Runs of anything but white space."""
+    return re.compile(f"[^{sets[2]}]+")
+
+
+@lru_cache(maxsize=4)
+def coarse_pieces(sets: tuple[str, str, str]) -> re.Pattern:
+    """A run with the one space before it, or white space: what no piece of ``spaced_pieces`` crosses."""
+    return re.compile(f" ?[^{sets[2]}]+|[{sets[2]}]+(?![^{sets[2]}])|[{sets[2]}]+")
+
+
+class Kept(dict):
+    """What ``code`` gives for a text; that of short texts is kept while there are fewer than ``most``."""
+
+    def __init__(self, code: Callable[[str], object], most: int, longest: int = 64):
+        super().__init__()
+        self.code, self.most, self.longest = code, most, longest
+
+    def __missing__(self, text: str):
+        found = self.code(text)
+        if len(self) < self.most and len(text) <= self.longest:
+            self[text] = found
+        return found
+
+
+def word_and_marks(run: str) -> str | None:
+    """The word of a run that is one word and, at most, marks after it; None for any other run.
+
+    Below U+0250 letters and their lower case are the same in every Unicode version, and nothing
+    there is changed by composition.
+    """
+    word = run.rstrip(".,;:!?")
+    return word if word.isalpha() and (run.isascii() or max(run) < "\u0250") else None
+
+
+@lru_cache(maxsize=4)
+def unclear(sets: tuple[str, str, str]) -> re.Pattern:
+    """White space at either end, or nothing at all: the space before such a run may be no boundary."""
+    return re.compile(f"[{sets[2]}]|\\Z")
+
+
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary file."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, spare = [""] * 256, 256
+    for b in range(256):
+        out[b] = chr(b) if b in plain else chr(spare)
+        spare += b not in plain
     return out
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-class Pieces:
-    """Pieces of some texts. ``first``: where each text's pieces begin; ``code``: for each piece the
-    number of its distinct form; ``forms``: those forms as bytes."""
-
-    def __init__(self, texts: list[str], spaced: bool):
-        joined = "".join(texts)
-        cp = code_points(joined)
-        n = len(cp)
-        ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, np.int64)
-        begins = ends - [len(t) for t in texts] if texts else ends
-        cls = classes()[cp]
-        start = np.empty(n + 1, bool)
-        start[n] = True
-        new_text = np.zeros(n + 1, bool)
-        new_text[begins] = True
-        new_text[n] = True
-        start[:n] = new_text[:n]
-        start[1:n] |= cls[1:] != cls[:-1]
-        if n:
-            more = ~new_text[1:]  # the next code point is in the same text
-            if spaced:
-                last = (cls == SPACE) & more
-                last[: n - 1] &= cls[1:] != SPACE
-                at = np.flatnonzero(last)
-                start[at] = True
-                start[at[cp[at] == 32] + 1] = False
-            else:
-                start[:n] |= cls == NUMBER
-            self._contractions(cp, start, new_text, n)
-        at = np.flatnonzero(start[:n])
-        stop = np.append(at[1:], n)
-        if not spaced:
-            word = cls[at] != SPACE
-            at, stop = at[word], stop[word]
-        width = 1 + (cp >= 0x80).astype(np.int8) + (cp >= 0x800) + (cp >= 0x10000)
-        byte = np.zeros(n + 1, np.int64)
-        np.cumsum(width, out=byte[1:])
-        self.first = np.searchsorted(at, np.append(begins, n))
-        self._distinct(joined.encode("utf-8", "surrogatepass"), byte[at], byte[stop] - byte[at])
-
-    @staticmethod
-    def _contractions(cp: np.ndarray, start: np.ndarray, new_text: np.ndarray, n: int) -> None:
-        """'s 't 'm 'd 're 've 'll are pieces where a piece begins with the apostrophe."""
-        for i in np.flatnonzero((cp == 39) & start[:n]):
-            if i + 1 >= n or new_text[i + 1]:
-                continue
-            a = chr(cp[i + 1])
-            b = chr(cp[i + 2]) if i + 2 < n and not new_text[i + 2] else ""
-            size = 2 if a in "stmd" else 3 if a + b in ("re", "ve", "ll") else 0
-            if size:
-                start[i + 1 : i + size] = False
-                start[i + size] = True
-
-    def _distinct(self, data: bytes, at: np.ndarray, size: np.ndarray) -> None:
-        """Number equal pieces alike: exact by 24 bytes and the length, longer ones by a dictionary."""
-        padded = data + bytes(32)
-        view = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
-        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-        words = [view[at + 8 * k] & mask[np.clip(size - 8 * k, 0, 8)] if len(at) else np.zeros(0, np.uint64) for k in range(3)]
-        long = np.flatnonzero(size > 24)
-        if len(long):
-            seen: dict[bytes, int] = {}
-            for i in long:
-                words[0][i] = seen.setdefault(data[at[i] : at[i] + size[i]], len(seen))
-        with np.errstate(over="ignore"):
-            mixed = words[0] * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            mixed = (mixed + words[1]) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed ^= mixed >> np.uint64(32)
-            mixed = (mixed + words[2]) * np.uint64(0x94D049BB133111EB) + size.astype(np.uint64)
-        _, one, code = np.unique(mixed, return_index=True, return_inverse=True)
-        if any((w != w[one][code]).any() for w in (*words, size)):  # a collision of the mixing
-            _, one, code = np.unique(np.column_stack([*words, size.astype(np.uint64)]), axis=0, return_index=True, return_inverse=True)
-        self.code = code.ravel()
-        self.forms = [data[s:e] for s, e in zip(at[one].tolist(), (at + size)[one].tolist())]
-
-
-def doubtful(text: str) -> bool:
-    """Whether a text has a code point of unsure class."""
-    return not text.isascii() and bool((classes()[code_points(text)] == DOUBTFUL).any())
+def text_groups(batch, column: int, limit: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of row groups of about ``limit`` bytes; a longer text is a group of its own."""
+    import pyarrow.compute as pc
+
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for k, size in enumerate(sizes):
+        if held and held + size > limit:
+            yield lo, [t or "" for t in texts.slice(lo, k - lo).to_pylist()]
+            lo, held = k, 0
+        held += int(size)
+    if lo < len(sizes):
+        yield lo, [t or "" for t in texts.slice(lo).to_pylist()]

@@ -2,14 +2,18 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe, dac, gam, langid, media, mixing, rules, url_templates, wrappers
+from ledgerloom.llm import bpe, dac, gam, langid, media, mixing, pretokens, rules, url_templates, wrappers
 
 CLASH = ["1 AS id", "2 AS words", "3 AS n", "'x' AS label", "4 AS `size`", "5 AS copies", "6 AS host", "7 AS `__row`", "8 AS fp", "9 AS score"]
 
@@ -139,11 +143,14 @@ def test_mix_without_words(spark):
     assert {r["target"] for r in mixing.mix_plan(df).collect()} == {0.0}
 
 
-ODD = ["", "It's we'll 'tis !!'s", "É Σ ς İ ß", "<|endoftext|>a<|startoftext|>", "a  b\n\tc \u00a0d", "zq qz \U0001F600 \U00020000 ١٢", "x" * 3000, "naïve café 42nd", "\x1c\x85 x"]
+SPACES = ["a  b", " a", "a ", "  ", " \n", "a \n b\n\n c", "a\n  b", "a \u3000 b", "x\x1c \x1cy", "\u180e z \u200b", "a \t", "end.\nNext one,\n two", "<|endoftext|>  <|endoftext|> a", "a <|endoftext|>"]
+#: Zero-width and soft hyphens, symbols, letters beyond the basic plane, combining marks, code points without a character.
+WIDE = ["a\u200bb \u200d\ufeff c\u00ad", "\U0001F680\U0001F914 go\U0001F468\u200d\U0001F469", "\u20bf\U0001D400\U0001D7D8x \U00020BB7", "e\u0301 \u0301x \u1e9b\u0323 ﬁ", "\u0378 \U000E0001 \uE000", "İIı ŉ ΑΣ ǅ \u1c89\ua7da", "日本語 テスト ١٢٣ Ⅻ ²³", "re've RE'VE o'll 'S"]
+ODD = [*SPACES, *WIDE, "", "It's we'll 'tis !!'s", "É Σ ς İ ß", "<|endoftext|>a<|startoftext|>", "a  b\n\tc \u00a0d", "zq qz \U0001F600 \U00020000 ١٢", "x" * 3000, "naïve café 42nd", "\x1c\x85 x"]
 
 
 def test_bpe_equals_the_library(spark, none):
-    lib = bpe.word_bpe(bpe.default_vocabulary()).library
+    lib = Tokenizer.from_file(bpe.default_vocabulary())
     df = spark.createDataFrame([*enumerate(ODD), (None, None), (3, ODD[3])], "doc_id long, text string").selectExpr("*", *CLASH)
     rows = bpe.encode_documents(df, with_ids=True).collect()
     assert len(rows) == len(ODD) + 2
@@ -158,12 +165,56 @@ def test_bpe_equals_the_library(spark, none):
 
 
 def test_certain_cuts():
-    b = bpe.word_bpe(bpe.default_vocabulary())
+    b = bpe.word_bpe(bpe.default_vocabulary(), pretokens.classes())
     for word in (b"zqxjv", b"hello", b"qqzz", "日本".encode()):
         assert b"".join(b.cuts(word)) == word
     assert len(b.cuts(b"ab\xf0\x9f")) >= 1
 
 
+def test_merges_against_brute_force():
+    b = bpe.word_bpe(bpe.default_vocabulary(), pretokens.classes())
+
+    def brute(ids):
+        while True:
+            best = min(((b.pairs.get(x << bpe.BITS | y, bpe.NEVER), k) for k, (x, y) in enumerate(zip(ids, ids[1:]))), default=(bpe.NEVER, 0))
+            if best[0] == bpe.NEVER:
+                return ids
+            k = best[1]
+            ids = [*ids[:k], best[0] & bpe.MASK, *ids[k + 2 :]]
+
+    rng = random.Random(2)
+    for n in (1, 2, 3, 9, 40, 150):
+        for letters in ("a", "ab", "etaoinshr"):
+            ids = [b.inner[ord(rng.choice(letters))] for _ in range(n)]
+            want = brute(ids)
+            assert b.merge(list(ids)) == b._merge_long(list(ids)) == want
+
+
+def test_very_long_words():
+    lib = Tokenizer.from_file(bpe.default_vocabulary())
+    b = bpe.word_bpe(bpe.default_vocabulary(), pretokens.classes())
+    rng = random.Random(3)
+    for word in ("a" * 50_000, "".join(rng.choices("etaoinshr", k=50_000))):
+        assert b.encode(word) == lib.encode(word, add_special_tokens=False).ids
+    began = time.time()
+    b.encode("".join(rng.choices("etaoinshr", k=1_000_000)))
+    assert time.time() - began < 60
+
+
+library = lru_cache(Tokenizer.from_file)
+
+
+@settings(max_examples=150, deadline=None)
+@given(strategies.text(strategies.sampled_from(" \n\t\u00a0\u3000'sSaé1.,<|>\u0301\u200b\U0001F600Σ日"), max_size=30))
+def test_any_text_is_encoded_like_the_library(text):
+    sets = pretokens.classes()
+    words, tokens = library(bpe.default_vocabulary()), library(dac.default_vocabulary())
+    ids = bpe.word_bpe(bpe.default_vocabulary(), sets).encode(text)
+    assert ids == words.encode(text, add_special_tokens=False).ids
+    assert bpe.word_bpe(bpe.default_vocabulary(), sets).decode(ids) == words.decode(ids, skip_special_tokens=False)
+    assert np.frombuffer(dac.byte_bpe(dac.default_vocabulary(), sets).encode_all([text])[0], "<u4").tolist() == tokens.encode(text, add_special_tokens=False).ids
+
+
 def test_language(spark, none):
     rng = random.Random(4)
     alphabets = {"aa": "abcdef ", "bb": "uvwxyzé ", "cc": "бвгджз "}
@@ -203,7 +254,7 @@ def test_dac_round_trip(ids):
 
 
 def test_token_files(spark, none):
-    lib = dac.byte_bpe(dac.default_vocabulary()).library
+    lib = Tokenizer.from_file(dac.default_vocabulary())
     rows = [(k, t) for k, t in enumerate(ODD)] + [(100, None), (3, ODD[3])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *CLASH).repartition(3)
     start = 0
@@ -216,6 +267,31 @@ def test_token_files(spark, none):
     assert dac.round_trip(none).count() == 0
 
 
+def test_token_files_with_equal_and_null_ids(spark, monkeypatch):
+    lib = Tokenizer.from_file(dac.default_vocabulary())
+    monkeypatch.setattr(dac, "BLOCK_TOKENS", 40)
+    rows = [(7, f"text {k % 5} of one id") for k in range(60)] + [(None, "no id"), (None, None), (1, "first")]
+    got = dac.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [1, *[7] * 60, None, None]
+    sums = sorted(zlib.crc32(np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, t in rows)
+    assert sorted(r["ids_crc32"] for r in got) == sums
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+
+
+def test_tokens_are_read_by_position(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(dac, "BLOCK_TOKENS", 300)
+    rows = [(k, good(rng, rng.randrange(1, 900))) for k in range(40)] + [(50, "")]
+    path = str(tmp_path / "tokens")
+    dac.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    lib = Tokenizer.from_file(dac.default_vocabulary())
+    want = [i for _, t in rows for i in [*lib.encode(t, add_special_tokens=False).ids, 0]]
+    asked = [0, 1, len(want) - 1, len(want), len(want) + 10_000, -1, 5, 5, *rng.sample(range(len(want)), 200)]
+    positions = spark.createDataFrame([(k,) for k in asked], "position long")
+    got = {r["position"]: r["token"] for r in dac.tokens_at(spark, path, positions).collect()}
+    assert got == {k: want[k] for k in asked if 0 <= k < len(want)}
+
+
 @pytest.mark.parametrize("kind", ["pgm", "ppm", "bmp"])
 def test_media_round_trip(kind):
     image = np.random.default_rng(1).integers(0, 256, (7, 5, 3), np.uint8)
