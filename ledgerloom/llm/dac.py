@@ -19,6 +19,7 @@ gives no blocks.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, arrow_map, materialize, work_dir
+from .common import CHUNK_BYTES, arrow_map, work_dir
 from .pretokens import Kept, byte_letters, classes, coarse_pieces, spaced_pieces, text_groups, unclear, word_and_marks
 
 MAGIC = b"DAC1"
@@ -128,13 +129,17 @@ class ByteBpe:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_letters()))
         self.pieces, self.coarse, self.unclear = spaced_pieces(sets), coarse_pieces(sets), unclear(sets)
+        # Bytes of one id; ids are little-endian.
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.runs = Kept(self.run, CACHE)  # codes of a run and the space before it
         self.parts = Kept(self.piece, CACHE // 4)
 
+    def packed(self, ids: list[int]) -> bytes:
+        return pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
     def piece(self, piece: str) -> bytes:
-        """The ids of one piece (little-endian, 32 bits each)."""
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        """The ids of one piece."""
+        return self.packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
 
     def run(self, run: str) -> bytes:
         """The ids of a run and the space before it."""
@@ -151,8 +156,7 @@ class ByteBpe:
     def stretch(self, text: str) -> bytes:
         """The ids of a text that begins and ends at piece boundaries."""
         if self.special_in(text):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return pack(f"<{len(ids)}I", *ids)
+            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.parts.__getitem__, self.pieces.findall(text)))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -183,36 +187,50 @@ def write_tokens(
 ) -> None:
     """Write the token files of ``docs`` to ``path``, in ascending order of the id.
 
-    Texts are encoded where they are read; only ids are shuffled. The order is split by id, then by a
-    hash of the ids and a row number, so rows of one id need not share a task.
+    Texts are encoded where they are read; only ids are shuffled. Files are split by id and a hash of
+    the text, so rows of one id need not share a task; their bounds come from a shuffle of just those.
     """
     spark = docs.sparkSession
     vocab, sets = vocabulary or default_vocabulary(), classes()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     kind = dict(slim.dtypes)["id"]
-    end = pack("<I", end_id)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("id").asc_nulls_last(), F.col("tie")]
+    firsts = (
+        slim.select("id", "tie")
+        .repartitionByRange(parts, *order)
+        .groupBy(F.spark_partition_id())
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("least"))
+        .collect()  # one row for each part
+    )
+    bounds = sorted((r["least"]["none"], () if r["least"]["none"] else (r["least"]["id"],), r["least"]["tie"]) for r in firsts)[1:]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocab, sets)
+        end = bpe.packed([end_id])
         for b in batches:
             for lo, texts in text_groups(b, 1, CHUNK_BYTES):
+                ids, ties = b.column(0).slice(lo, len(texts)), b.column(2).slice(lo, len(texts))
                 coded = pa.array([c + end for c in bpe.encode_all(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), coded], names=["id", "coded"])
+                keys = ((i is None, () if i is None else (i,), t) for i, t in zip(ids.to_pylist(), ties.to_pylist()))
+                part = pa.array([bisect_right(bounds, k) for k in keys], pa.int32())
+                yield pa.RecordBatch.from_arrays([part, ids, ties, coded], names=["part", "id", "tie", "coded"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, before, size = TaskContext.get().partitionId(), 0, 0
+        kind = f"<u{byte_bpe(vocab, sets).width}"
+        width = np.dtype(kind).itemsize
+        before = size = 0
         held: list[pa.RecordBatch] = []  # ids and codes of the documents of one block
 
         def block() -> pa.RecordBatch:
             nonlocal before, size
-            names, coded = pa.concat_arrays([h.column(0) for h in held]), [c.as_py() for h in held for c in h.column(1)]
-            packed = dac_encode(np.frombuffer(b"".join(coded), "<u4"))
+            names, coded = pa.concat_arrays([h.column(1) for h in held]), [c.as_py() for h in held for c in h.column(2)]
             row = [
-                pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()),
+                held[0].column(0).slice(0, 1), pa.array([before], pa.int64()), pa.array([size], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
-                pa.array([[len(c) // 4 for c in coded]], pa.list_(pa.int64())), pa.array([packed], pa.binary()),
+                pa.array([[len(c) // width for c in coded]], pa.list_(pa.int64())),
+                pa.array([dac_encode(np.frombuffer(b"".join(coded), kind))], pa.binary()),
             ]
             before += size
             size = 0
@@ -221,22 +239,19 @@ def write_tokens(
 
         for b in batches:
             lo = 0
-            for k, n in enumerate(pc.binary_length(b.column(1)).to_pylist()):
-                if size and size + n // 4 > BLOCK_TOKENS:
-                    held.append(b.slice(lo, k - lo))
+            for k, n in enumerate(pc.binary_length(b.column(2)).to_pylist()):
+                if size and size + n // width > BLOCK_TOKENS:
+                    if k > lo:
+                        held.append(b.slice(lo, k - lo))
                     lo = k
                     yield block()
-                size += n // 4
+                size += n // width
             held.append(b.slice(lo))
         if size:
             yield block()
 
-    encoded = materialize(arrow_map(slim, encode, f"id {kind}, coded binary"), "encoded")
-    # A row's number is fixed by the files just written.
-    order = [F.col("id").asc_nulls_last(), F.col("tie"), F.col("row")]
-    keyed = encoded.withColumn("tie", F.xxhash64("coded")).withColumn("row", F.monotonically_increasing_id())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ids = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "coded")
+    encoded = arrow_map(slim, encode, f"part int, id {kind}, tie long, coded binary")
+    sorted_ids = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions(*order).select("part", "id", "coded")
     # Stored as they are, so that a block's levels and directories are at their place in the file.
     arrow_map(sorted_ids, blocks, f"part int, before long, tokens long, ids array<{kind}>, sizes array<long>, block binary").write.option(
         "compression", "uncompressed"

@@ -212,7 +212,7 @@ def test_any_text_is_encoded_like_the_library(text):
     ids = bpe.word_bpe(bpe.default_vocabulary(), sets).encode(text)
     assert ids == words.encode(text, add_special_tokens=False).ids
     assert bpe.word_bpe(bpe.default_vocabulary(), sets).decode(ids) == words.decode(ids, skip_special_tokens=False)
-    assert np.frombuffer(dac.byte_bpe(dac.default_vocabulary(), sets).encode_all([text])[0], "<u4").tolist() == tokens.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(dac.byte_bpe(dac.default_vocabulary(), sets).encode_all([text])[0], "<u2").tolist() == tokens.encode(text, add_special_tokens=False).ids
 
 
 def test_language(spark, none):
