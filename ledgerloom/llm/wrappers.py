@@ -4,28 +4,30 @@
    folded tree, written as a string, is the page's skeleton.
 2. Per host, the most common skeleton is the base. Every distinct skeleton of the host is aligned
    with it by simple tree matching.
-3. A block whose text stands at the same base node on nearly all pages of a host is template;
-   varying slots are content. Copies of one article count once, and hosts with few different pages
-   have no template.
-4. Blocks of menus, page headers, footers, sidebars, notices, adverts, forms and reader comments go
-   by element and by the words of class, id and role; inside the content root only whole names of
-   class and role count. The root is the innermost of article, main part, marked container and body
-   that holds at least half of the varying text; what is left inside it is the text.
-
-Parsing and alignment run page by page and skeleton by skeleton; all counting is grouped
-aggregation, so a host with a third of all pages is no task of its own.
+3. A block whose text stands at the same base node on nearly all different pages of a host (all of
+   three to nine) is template; varying slots are content. Copies of one article count once. A page
+   over three quarters of which would be template is a near copy and keeps its blocks, as do hosts of
+   fewer than three different pages, where nothing can be induced.
+4. Menus, page headers, footers, sidebars and forms go by element, besides any container whose class,
+   id or role has a name made of mark words and layout words only ("comments", "cookie-box", but not
+   "with-sidebar" or "promotion-history"). Headings, inline elements and what holds most of the text
+   together with its heading are never marked. The root is the innermost of article, main part,
+   marked container and body that holds at least half of the varying text; what is left inside it is
+   the text.
+
+Parsing runs page by page and alignment skeleton by skeleton, dealt by skeleton and not by host; all
+counting is grouped aggregation, so a host with a third of all pages is no task of its own.
 
 Defined results: a null or empty html, or a page without content, gives an empty text; pages without
-a host share the host ''; repeated rows give repeated results; a page all of whose content would be
-template keeps it; extra columns are ignored; an empty table gives an empty table. Nothing is capped;
-skeletons of more than ``MATCH_CELLS`` node pairs are aligned by the same matching in linear memory.
+a host share the host ''; repeated rows give repeated results; extra columns are ignored; an empty
+table gives an empty table. Nothing is capped, neither the depth nor the number of nodes.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import defaultdict
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,10 +38,9 @@ from .common import arrow_map, materialize
 
 #: Share of a host's different pages that must have a block in common, and how many such pages.
 TEMPLATE_SHARE = 0.9
-TEMPLATE_PAGES = 8
-MATCH_CELLS = 4_000_000
-#: Elements nested deeper hang side by side at this depth.
-MAX_DEPTH = 200
+TEMPLATE_PAGES = 3
+#: Sizes of pairs of subtrees that are remembered during one alignment.
+MEMORY = 1_000_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S
@@ -47,7 +48,7 @@ TOKEN = re.compile(
 #: Any attribute, so that no value is read as a name.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 #: Their insides are no markup and no text of the page.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "svg", "math", "object", "canvas", "audio", "video", "head"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "svg", "object", "canvas", "audio", "video", "head"}
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split()
@@ -66,23 +67,46 @@ DROP_WORDS = set(
 )
 HEADER_WORDS = {"header", "banner", "siteheader"}
 ROOT_WORDS = {"content", "article", "post", "entry", "story", "main"}
+#: They say where a marked container is, not what is in it.
+LAYOUT_WORDS = ROOT_WORDS | set(
+    "area bar block body bottom box container footer group header holder inner item items left link links list middle module outer page panel"
+    " right row section site slot top unit user reader wrap wrapper zone".split()
+)
+#: Elements that can be a marked container; a paragraph is one for adverts only.
+CONTAINERS = {"div", "section", "aside", "ul", "ol", "dl", "table", "tbody", "tr", "td", "li", "header", "figure", "details", "center", "address", "article", "main", "blockquote"}
+ADVERT_WORDS = {"ad", "ads", "advert", "advertisement", "sponsored"}
 
 
 class _Node:
     __slots__ = ("label", "kids", "sig", "index")
 
     def __init__(self, label: str):
-        self.label, self.kids, self.sig, self.index = label, [], "", 0
+        self.label, self.kids, self.sig, self.index = label, [], -1, 0
+
+
+class _Mark:
+    """A container marked by its names: the text in it, and whether a title or article is."""
 
+    __slots__ = ("outer", "amount", "titled", "void", "dropped")
 
-def _words(attributes: str) -> tuple[str, set[str], set[str], bool]:
-    """Name of the element, words of its class, id and role, whole names of class and role, whether its role is main."""
+    def __init__(self, outer: _Mark | None):
+        self.outer, self.amount, self.titled, self.void, self.dropped = outer, 0, False, False, False
+
+
+def _names(attributes: str) -> tuple[str, list[set[str]], bool]:
+    """Name of the element, the words of each of its names (class, id, role), whether its role is main."""
     values = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)]
     values = [(k, v) for k, v in values if k in ("class", "id", "role")]
     name = next((v for k, v in values if k == "class"), "") or next((v for k, v in values if k == "id"), "")
-    words = set(re.split(r"[^a-z]+", " ".join(v for _, v in values).lower())) - {""}
-    whole = {x for k, v in values if k != "id" for x in v.lower().split()}
-    return re.sub(r"[^a-z-]+", "", name.lower().split(" ")[0] if name else ""), words, whole, any(k == "role" and "main" in v.lower().split() for k, v in values)
+    names = [x for _, v in values for x in v.split()]
+    # camelCase, dashes, underscores and digits part words
+    parted = [set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower())) - {""} for x in names]
+    return re.sub(r"[^a-z-]+", "", name.lower().split(" ")[0] if name else ""), parted, any(k == "role" and "main" in v.lower().split() for k, v in values)
+
+
+def _marked(tag: str, names: list[set[str]]) -> bool:
+    words = ADVERT_WORDS | {"comment", "comments", "related", "recommended", "promo"} if tag in ("article", "main") else ADVERT_WORDS if tag == "p" else DROP_WORDS
+    return (tag in CONTAINERS or tag == "p") and any(x & words and x <= words | LAYOUT_WORDS for x in names)
 
 
 def _root_level(blocks: list[tuple[int, str, int]]) -> int:
@@ -91,24 +115,42 @@ def _root_level(blocks: list[tuple[int, str, int]]) -> int:
     return next((k for k in (3, 2, 1) if 2 * sum(len(t) for _, t, level in blocks if level >= k) >= total), 0)
 
 
-def _fold(node: _Node) -> None:
-    """Signatures, with runs of alike siblings folded."""
-    stack = [(node, False)]
+def _fold(node: _Node) -> str:
+    """Signatures of all nodes, with runs of alike siblings folded; the skeleton."""
+    known: dict[tuple, int] = {}
+    order, stack = [], [node]
     while stack:
-        x, done = stack.pop()
-        if not done:
-            stack.append((x, True))
-            stack += [(k, False) for k in x.kids]
-            continue
-        parts, last = [], None
+        x = stack.pop()
+        order.append(x)
+        stack += x.kids
+    for x in reversed(order):
+        runs: list[tuple[int, bool]] = []
         for k in x.kids:
-            if k.sig == last:
-                if not parts[-1].endswith("*"):
-                    parts[-1] += "*"
+            if runs and runs[-1][0] == k.sig:
+                runs[-1] = (k.sig, True)
             else:
-                parts.append(k.sig)
-                last = k.sig
-        x.sig = x.label + ("(" + ",".join(parts) + ")" if parts else "")
+                runs.append((k.sig, False))
+        x.sig = known.setdefault((x.label, tuple(runs)), len(known))
+    out: list[str] = []
+    todo: list[str | tuple[_Node, str]] = [(node, "")]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        x, star = item
+        out.append(x.label)
+        if not x.kids:
+            out.append(star)
+            continue
+        parts: list[str | tuple[_Node, str]] = []
+        for k, kid in enumerate(x.kids):
+            if k and kid.sig == x.kids[k - 1].sig:
+                continue
+            many = k + 1 < len(x.kids) and x.kids[k + 1].sig == kid.sig
+            parts += [",", (kid, "*" if many else "")]
+        todo += [")" + star, *reversed(parts[1:]), "("]
+    return "".join(out)
 
 
 def _number(node: _Node) -> None:
@@ -148,10 +190,11 @@ def parse_page(page: str | None) -> tuple[str, list[tuple[int, str, int]]]:
     -1 never."""
     page = page or ""
     root = _Node("#")
-    # (tag, node, dropped, level of content root, lowest level outside a loosely marked element)
-    stack: list[tuple[str, _Node, bool, int, int]] = [("#", root, False, 0, 3)]
+    # (tag, node, dropped by element, level of content root, innermost marked container)
+    stack: list[tuple[str, _Node, bool, int, _Mark | None]] = [("#", root, False, 0, None)]
     texts: list[str] = []
-    blocks: list[tuple[_Node, str, int]] = []
+    blocks: list[tuple[_Node, str, int, _Mark | None]] = []
+    marks: list[_Mark] = []
     inline_drop = 0
     inline_tag = ""
 
@@ -160,8 +203,10 @@ def parse_page(page: str | None) -> tuple[str, list[tuple[int, str, int]]]:
             text = " ".join(html_lib.unescape("".join(texts)).split())
             texts.clear()
             if text:
-                _, node, drop, level, loose = stack[-1]
-                blocks.append((node, text, -1 if drop or not loose else min(level, loose)))
+                _, node, drop, level, mark = stack[-1]
+                blocks.append((node, text, -1 if drop else level, mark))
+                if mark and not drop:
+                    mark.amount += len(text)
 
     at, n = 0, len(page)
     lower = None
@@ -212,9 +257,8 @@ def parse_page(page: str | None) -> tuple[str, list[tuple[int, str, int]]]:
                 texts.append(" ")
             if closing or attributes.endswith("/"):
                 continue
-            if tag in DROP_TAGS or attributes and _words(attributes)[2 if stack[-1][3] else 1] & DROP_WORDS:
-                if tag not in SPACED:
-                    inline_drop, inline_tag = 1, tag
+            if tag in DROP_TAGS and tag not in SPACED:
+                inline_drop, inline_tag = 1, tag
             continue
         flush()
         if closing:
@@ -231,23 +275,32 @@ def parse_page(page: str | None) -> tuple[str, list[tuple[int, str, int]]]:
                 break
             if open_tag in ("ul", "ol", "dl", "table", "div", "article", "section", "main"):
                 break
-        name, words, whole, is_main = _words(attributes) if attributes else ("", set(), set(), False)
-        _, parent, drop, level, loose = stack[-1]
+        name, names, is_main = _names(attributes) if attributes else ("", [], False)
+        _, parent, drop, level, mark = stack[-1]
         if tag not in ("html", "body"):
-            marks = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "comments", "related", "recommended"} if tag in ("article", "main") else DROP_WORDS
-            drop = drop or tag in DROP_TAGS or bool(whole & marks) or level < 2 and (tag == "header" or bool(whole & HEADER_WORDS))
-            # A mark by one word counts unless it is inside the root.
-            if words & marks or level < 2 and words & HEADER_WORDS:
-                loose = min(loose, level)
-        level = max(level, 3 if tag == "article" else 2 if tag == "main" or is_main else 1 if words & ROOT_WORDS and tag not in ("html", "body") else 0)
+            drop = drop or tag in DROP_TAGS or level < 2 and (tag == "header" or any(x & HEADER_WORDS and x <= HEADER_WORDS | LAYOUT_WORDS for x in names))
+            if mark and not drop and (tag in ("h1", "article", "main") or is_main):
+                mark.titled = True
+            if _marked(tag, names):
+                mark = _Mark(mark)
+                marks.append(mark)
+            level = max(level, 3 if tag == "article" else 2 if tag == "main" or is_main else 1 if any(x and x <= ROOT_WORDS for x in names) else 0)
         node = _Node(f"{tag}.{name}" if name else tag)
-        (parent if len(stack) <= MAX_DEPTH else stack[MAX_DEPTH][1]).kids.append(node)
+        parent.kids.append(node)
         if tag != "hr" and not attributes.endswith("/"):
-            stack.append((tag, node, drop, level, loose))
+            stack.append((tag, node, drop, level, mark))
     flush()
-    _fold(root)
+    total = sum(len(text) for _, text, level, _ in blocks if level >= 0)
+    for m in reversed(marks):
+        m.void = m.titled and 2 * m.amount >= total or 10 * m.amount >= 9 * total
+        if m.outer:
+            m.outer.amount += m.amount
+            m.outer.titled = m.outer.titled or m.titled
+    for m in marks:
+        m.dropped = not m.void or m.outer is not None and m.outer.dropped
+    skeleton = _fold(root)
     _number(root)
-    return root.sig, [(node.index, text, level) for node, text, level in blocks]
+    return skeleton, [(node.index, text, -1 if mark and mark.dropped else level) for node, text, level, mark in blocks]
 
 
 def read_skeleton(skeleton: str) -> tuple[list[str], list[int]]:
@@ -270,62 +323,18 @@ def tree_match(a: str, b: str) -> list[int]:
     """For each node of skeleton ``a`` the node of ``b`` that it is matched with, or -1.
 
     Simple tree matching: roots of equal label match, and their children's forests are aligned in
-    order for the most matched nodes.
+    order for the most matched nodes. Alike subtrees are compared once, equal ends of child lists are
+    matched at once, and other child lists are halved (Hirschberg), so memory grows with the nodes
+    and not with their pairs.
     """
     (la, pa_), (lb, pb) = read_skeleton(a), read_skeleton(b)
-    out = [-1] * len(la)
     if a == b:
         return list(range(len(la)))
     ka, kb = [[] for _ in la], [[] for _ in lb]
-    for kids, parents in ((ka, pa_), (kb, pb)):
+    for kids_of, parents in ((ka, pa_), (kb, pb)):
         for k, p in enumerate(parents):
             if p >= 0:
-                kids[p].append(k)
-    if len(la) * len(lb) > MATCH_CELLS:
-        return _large_match(la, ka, lb, kb)
-    size: dict[tuple[int, int], int] = {}
-
-    def table(x: int, y: int) -> list[list[int]]:
-        m = [[0] * (len(kb[y]) + 1) for _ in range(len(ka[x]) + 1)]
-        for i, c in enumerate(ka[x], 1):
-            row, above = m[i], m[i - 1]
-            for j, d in enumerate(kb[y], 1):
-                best = above[j] if above[j] >= row[j - 1] else row[j - 1]
-                s = size.get((c, d), 0)
-                if s and above[j - 1] + s > best:
-                    best = above[j - 1] + s
-                row[j] = best
-        return m
-
-    # Children come after their parents in preorder, so this order has their sizes first.
-    by_label: dict[str, list[int]] = defaultdict(list)
-    for y, label in enumerate(lb):
-        by_label[label].append(y)
-    for x in range(len(la) - 1, -1, -1):
-        for y in reversed(by_label.get(la[x], [])):
-            size[x, y] = 1 + table(x, y)[-1][-1]
-    todo = [(0, 0)] if la and lb and la[0] == lb[0] else []
-    while todo:
-        x, y = todo.pop()
-        out[x] = y
-        m = table(x, y)
-        i, j = len(ka[x]), len(kb[y])
-        while i and j:
-            c, d = ka[x][i - 1], kb[y][j - 1]
-            s = size.get((c, d), 0)
-            if s and m[i][j] == m[i - 1][j - 1] + s:
-                todo.append((c, d))
-                i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return out
-
-
-def _large_match(la: list[str], ka: list[list[int]], lb: list[str], kb: list[list[int]]) -> list[int]:
-    """Simple tree matching of large trees: alike subtrees are compared once, equal ends of child
-    lists are matched at once, and a long child list is halved (Hirschberg) instead of tabled."""
+                kids_of[p].append(k)
     known: dict[tuple[str, tuple[int, ...]], int] = {}
     label: list[str] = []
     kids: list[tuple[int, ...]] = []
@@ -344,6 +353,12 @@ def _large_match(la: list[str], ka: list[list[int]], lb: list[str], kb: list[lis
         return out
 
     ta, tb = subtrees(la, ka), subtrees(lb, kb)
+    deepest = 0
+    depth = [0] * len(la)
+    for k, p in enumerate(pa_):
+        depth[k] = depth[p] + 1 if p >= 0 else 1
+        deepest = max(deepest, depth[k])
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * deepest + 1000))  # ``size`` goes as deep as the tree
     memo: dict[tuple[int, int], int] = {}
 
     def size(c: int, d: int) -> int:
@@ -358,7 +373,7 @@ def _large_match(la: list[str], ka: list[list[int]], lb: list[str], kb: list[lis
             a, b = kids[c], kids[d]
             lo, hi = ends(a, b)
             found = 1 + sum(count[k] for k in a[:lo]) + sum(count[k] for k in a[len(a) - hi :]) + last_row(a[lo : len(a) - hi], b[lo : len(b) - hi])[-1]
-            if len(memo) >= MATCH_CELLS:
+            if len(memo) >= MEMORY:
                 memo.clear()
             memo[c, d] = found
         return found
@@ -463,7 +478,9 @@ def induce_wrappers(parsed: DataFrame, share: float = TEMPLATE_SHARE, least_page
             places = [tree_match(s, t) for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32()))], names=["host", "shape", "places"])
 
-    aligned = arrow_map(shapes.join(base, "host").select("host", "shape", "skeleton", "base"), run, "host string, shape string, places array<int>")
+    # Dealt by skeleton: the skeletons of one host are aligned by many tasks.
+    pairs = shapes.join(base, "host").select("host", "shape", "skeleton", "base").repartition("host", "shape")
+    aligned = arrow_map(pairs, run, "host string, shape string, places array<int>")
     aligned = materialize(aligned, "aligned")
     slots = (
         parsed.select("host", "shape", "digest", F.transform("blocks", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"))).alias("blocks"))
@@ -492,7 +509,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         "varying",
         F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", F.struct(F.element_at("places", b["n"] + 1).alias("node"), b["h"].alias("h"))), F.lit(False))),
     )
-    chosen = F.when(F.size("varying") > 0, F.col("varying")).otherwise(F.col("blocks"))
+
+    def length(blocks: str) -> Column:
+        return F.aggregate(F.transform(blocks, lambda b: F.length(b["t"])), F.lit(0), lambda a, n: a + n)
+
+    chosen = F.when(4 * length("varying") >= length("blocks"), F.col("varying")).otherwise(F.col("blocks"))
 
     def amount(level: int) -> Column:
         return F.aggregate(F.filter("chosen", lambda b: b["l"] >= level), F.lit(0), lambda a, b: a + F.length(b["t"]))

@@ -390,23 +390,74 @@ def test_tree_match():
     assert wrappers.parse_page("<a '" * 3000)[1] == []
 
 
-def test_large_skeletons_are_matched_like_small_ones(monkeypatch):
+def read_tree(skeleton):
+    """(label, kids, node) of a skeleton's root, nodes numbered in preorder."""
+    labels, parents = wrappers.read_skeleton(skeleton)
+    trees = [(label, [], k) for k, label in enumerate(labels)]
+    for k, p in enumerate(parents):
+        if p >= 0:
+            trees[p][1].append(trees[k])
+    return trees[0]
+
+
+def most_matched(a, b):
+    """Simple tree matching by its definition."""
+    if a[0] != b[0]:
+        return 0
+    table = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, c in enumerate(a[1], 1):
+        for j, d in enumerate(b[1], 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + most_matched(c, d))
+    return 1 + table[-1][-1]
+
+
+def test_tree_match_against_brute_force():
     rng = random.Random(3)
 
     def tree(depth):
         kids = [tree(depth - 1) for _ in range(rng.randrange(5))] if depth else []
         return rng.choice("abc") + ("(" + ",".join(kids) + ")" if kids else "")
 
-    cases = [("#(" + tree(3) + "," + tree(3) + ")", "#(" + tree(3) + "," + tree(3) + ")") for _ in range(60)]
-    want = [sum(x >= 0 for x in wrappers.tree_match(a, b)) for a, b in cases]
+    for _ in range(80):
+        a, b = "#(" + tree(3) + "," + tree(3) + ")", "#(" + tree(3) + "," + tree(3) + ")"
+        got = wrappers.tree_match(a, b)
+        (la, pa), (lb, pb) = wrappers.read_skeleton(a), wrappers.read_skeleton(b)
+        found = [(x, y) for x, y in enumerate(got) if y >= 0]
+        assert len(found) == most_matched(read_tree(a), read_tree(b))
+        assert all(la[x] == lb[y] for x, y in found) and [y for _, y in found] == sorted({y for _, y in found})
+        assert all(got[pa[x]] == pb[y] for x, y in found if x)
     items = ",".join(f"p.{'ab'[k % 2]}" for k in range(2500))
     large = wrappers.tree_match(f"#(p.b,{items},p.notice)", f"#({items},p.notice)")
     # The extra sibling stays alone; all later ones keep their nodes.
     assert large[1] == -1 and large[2:] == list(range(1, 2502))
-    monkeypatch.setattr(wrappers, "MATCH_CELLS", 0)
-    got = [wrappers.tree_match(a, b) for a, b in cases]
-    assert [sum(x >= 0 for x in m) for m in got] == want
-    assert all(len({y for y in m if y >= 0}) == sum(y >= 0 for y in m) for m in got)
+    deep = [wrappers.parse_page("<div>" * 3000 + tail)[0] for tail in ("<p>x", "<ul>x")]
+    assert wrappers.tree_match(*deep)[:3001] == list(range(3001))
+
+
+def test_induction_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for h, n in (("a.x", 1), ("b.x", 2), ("c.x", 3), ("d.x", 12), ("e.x", 30)):
+        for k in range(n):
+            body = "".join(f"<p>{good(rng, rng.randrange(5, 30))}</p>" for _ in range(rng.randrange(2, 6)))
+            extra = "<blockquote><p>now and then</p></blockquote>" if rng.random() < 0.4 else ""
+            rows.append((len(rows), f"http://{h}/{k}", f"<body><div><p>Notice of {h}</p>{extra}<section>{body}</section><p>All rights of {h}</p></div></body>"))
+        rows.append((len(rows), f"http://{h}/copy", rows[-1][2]))  # an exact copy counts once
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    parsed = {k: wrappers.parse_page(html) for k, _, html in rows}
+    for host in ("a.x", "b.x", "c.x", "d.x", "e.x"):
+        own = [k for k, url, _ in rows if f"//{host}/" in url]
+        shapes = Counter(parsed[k][0] for k in own)
+        pages = {tuple(t for _, t, _ in parsed[k][1]): k for k in own}
+        template = set()
+        if len(pages) >= 3:
+            tops = [s for s, n in shapes.items() if n == max(shapes.values())]
+            for base in tops[:1] if len(tops) == 1 else tops:
+                seen = Counter(x for k in pages.values() for x in {(wrappers.tree_match(parsed[k][0], base)[n], t) for n, t, _ in parsed[k][1]})
+                template = {t for (node, t), n in seen.items() if node >= 0 and n >= 0.9 * len(pages)}
+        assert len(pages) < 3 or template == {f"Notice of {host}", f"All rights of {host}"}
+        for k in own:
+            assert got[k] == "\n".join(t for _, t, _ in parsed[k][1] if t not in template)
 
 
 def test_marks_drop_no_article_text(spark):
@@ -423,6 +474,38 @@ def test_marks_drop_no_article_text(spark):
     assert got == [text + "\nsee this link", text + "\nImpact\nFound", text + "\nteaser", text]
 
 
+def test_names_around_or_inside_the_article_lose_nothing(spark):
+    body = "<p>" + "main text " * 20 + "</p>"
+    inside = (
+        '<h2 class="comment">A comment</h2><p>Costs <span class="share-price">12</span> at <a class="hidden-link">this shop</a>, if <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p>'
+        '<section class="promotion-history"><p>Promoted in 1990.</p></section>'
+    )
+    want = ("main text " * 20).strip() + "\nA comment\nCosts 12 at this shop, if x=1.\nPromoted in 1990."
+    pages = [
+        f'<div class="layout with-sidebar"><article>{body}{inside}</article></div>',
+        f'<div class="content no-sidebar">{body}{inside}</div>',
+        f'<div class="sidebar"><h1>T</h1>{body}{inside}</div>',
+        f'{body}{inside}<div class="entry">teaser</div>',
+        f'<article>{body}{inside}<div class="comments"><p>{"nice " * 200}</p></div><p class="ad">Buy</p></article>',
+        f'<div><div>{body}{inside}</div><div class="user-comments"><p>{"nice " * 200}</p></div></div>',
+    ]
+    rows = [(k, f"http://h{k}.x/", p) for k, p in enumerate(pages)] + [(9, None, pages[0]), (9, None, pages[0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", *CLASH)
+    got = [(r["page_id"], r["text"]) for r in wrappers.extract_main_text(df).orderBy("page_id").collect()]
+    texts = [want, want, "T\n" + want, want + "\nteaser", want, want]
+    assert got == [*enumerate(texts), (9, want), (9, want)]
+
+
+def test_a_notice_goes_from_three_pages_on_and_near_copies_stay_whole(spark):
+    rng = random.Random(6)
+    rows = [(k, f"http://few.x/{k}", page("t", good(rng, 40))) for k in range(3)]
+    long_body = "".join(f"<p>{good(rng, 30)}</p>" for _ in range(9))
+    rows += [(10 + k, f"http://near.x/{k}", f"<article>{long_body}<p>edition {k}</p></article>") for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("cookies" not in got[k] and len(got[k]) > 100 for k in range(3))
+    assert all(got[10 + k].count("\n") == 9 and got[10 + k].endswith(f"edition {k}") for k in range(5))
+
+
 def test_url_rules_and_parts(spark):
     cases = [
         ("http://A.b.NET/x?q", "a.b.net", "/x", "net/", "block"),
