@@ -6,7 +6,8 @@ language's prototype sums the normalised vectors of its training documents. Pred
 prototype of largest cosine, after the mean of all prototypes is taken out of each.
 
 Training takes about ``max_docs`` documents of each language (all, where there are fewer), chosen
-by a hash of the id; the texts are read whole. What the driver gets is one vector per language.
+by a hash of id and text, of which equal ones count once; the texts are read whole. What the driver
+gets is one vector per language.
 
 Defined results: a text that is null or has no letter gives ``und`` with score 0; null languages
 are not learned; with nothing to learn from, every text is ``und``; ties go to the label first in
@@ -122,7 +123,9 @@ def train_prototypes(docs: DataFrame, text_col: str, label_col: str, id_col: str
     share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n"))
     picked = (
         slim.join(F.broadcast(sizes.select("label", share.alias("share"))), "label")
-        .filter(F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+        .filter(F.pmod(F.xxhash64(F.lit("langid"), "id", "text"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+        .select("label", "id", "text")
+        .distinct()  # equal rows share a hash and would come in all together
         .select("label", "text")
     )
 

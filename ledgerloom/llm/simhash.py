@@ -8,8 +8,9 @@ population counts differ by more than the radius are skipped. Groups beyond ``TI
 into tiles whose pairs are separate tasks' work, so no task holds an unbounded group. A task emits
 a spanning forest of its links, never all pairs.
 
-Raise ``match`` beyond about 10**9 distinct fingerprints: groups shrink by 2**12 and more, for more
-copies of each fingerprint.
+``match`` is the least number whose groups would, of evenly spread fingerprints, be below one tile;
+any number finds the same links. Joins by a fingerprint, component or node that many rows share are
+salted: what it is joined with is repeated for each salt where more than one row asks for it.
 
 Defined results: null or empty texts have fingerprint zero and are linked like any other; equal
 texts have equal fingerprints and so one component; repeated rows keep their own output rows; a
@@ -33,6 +34,8 @@ from .common import arrow_map, fresh, materialize
 RADIUS = 4
 #: Rows of one tile of a large group; a task compares two tiles.
 TILE_ROWS = 8192
+#: Tasks over which the rows of one key are spread in joins.
+SALTS = 16
 #: Rows of the inner tiles that numpy compares at once.
 INNER = 512
 
@@ -129,10 +132,26 @@ def block_keys(fp: Column, radius: int, match: int) -> Column:
     return F.array(*keys)
 
 
-def link_forest(distinct: DataFrame, radius: int = RADIUS, match: int = 1, tile_rows: int = TILE_ROWS) -> DataFrame:
+def blocks_to_match(count: int, radius: int, tile_rows: int = TILE_ROWS) -> int:
+    """The least ``match`` of which a group of ``count`` evenly spread fingerprints has no more than ``tile_rows``."""
+    return next((m for m in range(1, 4) if count <= tile_rows << 64 * m // (radius + m)), 4)
+
+
+def salt(c: Column | str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+
+
+def salts(rows: Column, only: Column) -> Column:
+    """Every salt for a key that more than one row asks for, else the salt of the one that does."""
+    return F.explode(F.when(rows > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(salt(only))))
+
+
+def link_forest(distinct: DataFrame, radius: int = RADIUS, match: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """a, b: pairs of the distinct fingerprints ``fp`` that span every linked component."""
     spark = distinct.sparkSession
     ship_package(spark)
+    if match is None:
+        match = blocks_to_match(distinct.count(), radius, tile_rows)
     keyed = distinct.select("fp", F.inline(block_keys(F.col("fp"), radius, match)))
     large = keyed.groupBy("choice", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile_rows)
     tiles = F.coalesce(F.ceil(F.col("n") / tile_rows), F.lit(1)).cast("int")
@@ -176,7 +195,6 @@ def link_forest(distinct: DataFrame, radius: int = RADIUS, match: int = 1, tile_
         if held:
             yield edges(np.ascontiguousarray(np.concatenate(held)))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return spread.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
@@ -191,16 +209,21 @@ def components(edges: DataFrame) -> DataFrame:
     parents: list[DataFrame] = []
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "parents")
+        least = both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+        parent = materialize(least.select("a", F.least("least", "a").alias("p"), "least", "n"), "parents")
         parents.append(parent)
-        pa_, pb_ = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        live = materialize(_tidy(live.join(pa_, "a").join(pb_, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
+        # Of an edge each end looks up its parent; the other end salts the key.
+        pa_ = parent.select("a", F.col("p").alias("pa"), salts(F.col("n"), F.col("least")).alias("s"))
+        pb_ = parent.select(F.col("a").alias("b"), F.col("p").alias("pb"), salts(F.col("n"), F.col("least")).alias("s"))
+        first = live.withColumn("s", salt("b")).join(pa_, ["a", "s"]).drop("s")
+        moved = first.withColumn("s", salt("a")).join(pb_, ["b", "s"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        live = materialize(_tidy(moved), "edges")
     if not parents:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     roots = parents[0].select(F.col("a").alias("node"), F.col("p").alias("root"))
     for parent in parents[1:]:
-        step = parent.select(F.col("a").alias("root"), F.col("p").alias("next"))
-        roots = roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        step = parent.select(F.col("a").alias("root"), F.col("p").alias("next"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        roots = roots.withColumn("s", salt("node")).join(step, ["root", "s"], "left").select("node", F.coalesce("next", "root").alias("root"))
     return roots
 
 
@@ -209,16 +232,20 @@ def _tidy(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS, match: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS, match: int | None = None
 ) -> DataFrame:
     """id, fp, group_id (equal for one component), component_id (its smallest id) for every row."""
     marked = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = materialize(components(link_forest(distinct.select("fp"), radius, match)), "roots")
     placed = distinct.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").withColumn("group_id", F.coalesce("root", "node"))
-    placed = materialize(placed.select("fp", "first_id", "group_id"), "placed")
-    least = placed.groupBy("group_id").agg(F.min("first_id").alias("component_id"))
-    return marked.join(placed.join(least, "group_id").select("fp", "group_id", "component_id"), "fp").select("id", "fp", "group_id", "component_id")
+    placed = materialize(placed.select("fp", "first_id", "n", "group_id"), "placed")
+    # A fingerprint without links is its own component and needs no lookup.
+    least = placed.groupBy("group_id").agg(F.min("first_id").alias("least_id"), F.count(F.lit(1)).alias("fps")).filter("fps > 1")
+    least = least.select("group_id", "least_id", F.lit(True).alias("many"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    named = placed.withColumn("s", salt("fp")).join(least, ["group_id", "s"], "left").withColumn("component_id", F.when(F.col("many"), F.col("least_id")).otherwise(F.col("first_id")))
+    answers = named.select("fp", "group_id", "component_id", salts(F.col("n"), F.col("first_id")).alias("s"))
+    return marked.withColumn("s", salt("id")).join(answers, ["fp", "s"]).select("id", "fp", "group_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -73,6 +73,26 @@ def test_gam_bound_takes_repeated_rows_once(spark, monkeypatch):
     assert got[1][1].mean() == 0.5 and (got[0][0] == got[1][0]).all() and (got[0][1] == got[1][1]).all()
 
 
+def score_by_hand(model, row):
+    """One row, entry by entry, with bins found by counting cuts."""
+    def place(cuts, v):
+        return sum(1 for c in cuts if c <= v)
+
+    total = model.base + sum(table[place(cuts, v)] for table, cuts, v in zip(model.tables, model.edges, row))
+    total += sum(t[place(model.pair_edges[i], row[i])][place(model.pair_edges[j], row[j])] for i, j, t in model.pairs)
+    return 1 / (1 + np.exp(-total))
+
+
+def test_gam_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(1)
+    x = rng.random((500, len(gam.FEATURES)))
+    y = (x[:, 0] + x[:, 3] * x[:, 4] > 0.8).astype(float)
+    model = gam.train_gam(x, y)
+    got = model.score(x[:40])
+    for row, score in zip(x[:40], got):
+        assert score == pytest.approx(score_by_hand(model, row), abs=1e-9)
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
@@ -232,6 +252,35 @@ def test_language(spark, none):
     assert {r["lang_pred"] for r in langid.predict_language(df, {}).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_whatever_the_ids(spark):
+    rng = random.Random(7)
+    texts = [("".join(rng.choices("abcdef ", k=60)), "aa") for _ in range(400)] + [("".join(rng.choices("uvwxyz ", k=60)), "bb") for _ in range(400)]
+    got = []
+    for ids in ([None] * 800, [5] * 800):
+        df = spark.createDataFrame([(i, t, x) for i, (t, x) in zip(ids, texts)], "doc_id long, text string, lang string")
+        prototypes = langid.train_prototypes(df, "text", "lang", "doc_id", max_docs=40)
+        # Normalised vectors are summed, so the sum's length is at most their number.
+        got.append({x: np.linalg.norm(v) for x, v in prototypes.items()})
+    assert all(set(g) == {"aa", "bb"} and all(5 < n < 80 for n in g.values()) for g in got)
+
+
+def test_predictions_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(k, "".join(rng.choices("abcdefgh " if k % 2 else "efghijkl ", k=40)), "xy"[k % 2]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    prototypes = langid.train_prototypes(df, "text", "lang", "doc_id")
+    unit = {k: v / np.linalg.norm(v) for k, v in ((k, langid.bundle([t])[0].astype(float)) for k, t, _ in rows)}
+    want = {x: sum(unit[k] for k, _, lang in rows if lang == x) for x in "xy"}
+    assert all(np.allclose(prototypes[x], want[x], atol=1e-3) for x in "xy")
+    mean = sum(v / np.linalg.norm(v) for v in want.values()) / 2
+    centred = {x: v / np.linalg.norm(v) - mean for x, v in want.items()}
+    for r in langid.predict_language(df, prototypes).collect():
+        v = unit[r["doc_id"]] - mean
+        cosine = {x: v @ c / np.linalg.norm(v) / np.linalg.norm(c) for x, c in centred.items()}
+        assert r["lang_pred"] == max(cosine, key=cosine.get)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-langid.SHARPNESS * abs(cosine["x"] - cosine["y"]))), abs=1e-3)
+
+
 def test_bundles_are_sums_of_bound_letters():
     text = "abca"
     letters = [0, *map(ord, text), 0]

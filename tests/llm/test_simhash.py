@@ -86,3 +86,21 @@ def test_keep_one(spark):
 
     df = spark.createDataFrame([(3, "a b c d e"), (1, "A b c d e"), (1, "A b c d e"), (None, "z")], "doc_id long, text string")
     assert sorted(map(str, (r[0] for r in keep_one(df).collect()))) == ["1", "None"]
+
+
+def test_number_of_blocks():
+    from ledgerloom.llm import simhash
+
+    assert [simhash.blocks_to_match(n, 4) for n in (0, 10**6, 3 * 10**7, 10**9, 10**11, 10**13)] == [1, 1, 1, 2, 3, 4]
+
+
+def test_hot_fingerprints_and_groups(spark):
+    rows = [(k, "" if k % 3 else f"one text {k % 7} of many words and so on") for k in range(300)] + [(None, "alone with no number at all"), (None, None)]
+    got = near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 302
+    by = {}
+    for r in got:
+        by.setdefault(r["fp"], set()).add((r["group_id"], r["component_id"]))
+    assert all(len(v) == 1 for v in by.values())
+    assert {r["component_id"] for r in got if r["fp"] == 0} == {1}
+    assert [r["component_id"] for r in got if r["id"] is None and r["fp"] != 0] == [None]
