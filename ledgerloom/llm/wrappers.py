@@ -505,20 +505,24 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """id, url, text, n_chars for every page."""
     parsed = materialize(parse_pages(pages, id_col, url_col, html_col), "parsed")
     wrappers = materialize(induce_wrappers(parsed, **options), "wrappers")
-    joined = parsed.join(wrappers, ["host", "shape"], "left").withColumn(
-        "varying",
-        F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", F.struct(F.element_at("places", b["n"] + 1).alias("node"), b["h"].alias("h"))), F.lit(False))),
-    )
-
-    def length(blocks: str) -> Column:
-        return F.aggregate(F.transform(blocks, lambda b: F.length(b["t"])), F.lit(0), lambda a, n: a + n)
-
-    chosen = F.when(4 * length("varying") >= length("blocks"), F.col("varying")).otherwise(F.col("blocks"))
-
-    def amount(level: int) -> Column:
-        return F.aggregate(F.filter("chosen", lambda b: b["l"] >= level), F.lit(0), lambda a, b: a + F.length(b["t"]))
-
-    root = F.when(2 * amount(3) >= amount(0), 3).when(2 * amount(2) >= amount(0), 2).when(2 * amount(1) >= amount(0), 1).otherwise(0)
-    rooted = joined.withColumn("chosen", chosen).withColumn("root", root)
+    def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+        """``value`` as a column that later expressions read instead of repeating it: a generator is no projection to merge with."""
+        return df.select("*", F.explode(F.array(value)).alias(name))
+
+    def length(blocks: Column) -> Column:
+        return F.aggregate(blocks, F.lit(0), lambda a, b: a + F.length(b["t"]))
+
+    constant = F.coalesce("template", F.array().cast("array<struct<node:int,h:bigint>>"))
+    joined = once(parsed.join(wrappers, ["host", "shape"], "left"), "constant", constant)
+    varying = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("constant", F.struct(F.element_at("places", b["n"] + 1).alias("node"), b["h"].alias("h"))), F.lit(False)))
+    varying = F.when(F.size("constant") == 0, F.col("blocks")).otherwise(varying)
+    chosen = F.when(4 * length(F.col("varying")) >= length(F.col("blocks")), F.col("varying")).otherwise(F.col("blocks"))
+    rooted = once(once(joined, "varying", varying), "chosen", chosen)
+    # Text at each level of root and above, in one pass.
+    none = F.struct(*[F.lit(0).alias(f"l{k}") for k in range(4)])
+    amounts = F.aggregate("chosen", none, lambda a, b: F.struct(*[(a[f"l{k}"] + F.when(b["l"] >= k, F.length(b["t"])).otherwise(0)).alias(f"l{k}") for k in range(4)]))
+    rooted = once(rooted, "amounts", amounts)
+    half = [2 * F.col(f"amounts.l{k}") >= F.col("amounts.l0") for k in range(4)]
+    rooted = once(rooted, "root", F.when(half[3], 3).when(half[2], 2).when(half[1], 1).otherwise(0))
     text = F.array_join(F.transform(F.filter("chosen", lambda b: b["l"] >= F.col("root")), lambda b: b["t"]), "\n")
-    return rooted.select(F.col("id").alias(id_col), "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return once(rooted, "main_text", text).select(F.col("id").alias(id_col), "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
