@@ -123,6 +123,26 @@ def test_planner_periods_and_metrics():
     assert planner.metrics("毛利率") == ["us-gaap:GrossProfit"]
 
 
+def test_planner_reads_mixed_periods():
+    def ends(*years):
+        return [date(y, 12, 31) for y in years]
+
+    assert planner.periods("FY2021 Q3") == [date(2021, 9, 30), *ends(2021)]
+    assert planner.periods("从FY2019到FY2021") == planner.periods("2019 – 2021") == ends(2019, 2020, 2021)
+    assert planner.periods("2010 through 2024") == ends(2010, 2024)  # too long for a range
+    assert planner.periods("2022年末 and 2023/12/31") == ends(2022, 2023)
+    assert planner.periods("2022年第一季度和第二季度") == [date(2022, 3, 31), date(2022, 6, 30)]
+    assert planner.periods("Q1-2022 vs Q2") == [date(2022, 3, 31), date(2022, 6, 30)]
+    assert planner.periods("第三季度") == [] and planner.periods("2023-13-45") == ends(2023)
+    assert planner.semantics(date(2022, 12, 31), "2022 Q4") == planner.semantics(date(2022, 12, 31), "第四季度") == "quarterly_standalone"
+    assert planner.semantics(date(2022, 12, 31), "2022 annual") == "annual_cumulative" and planner.semantics(date(2022, 5, 1), "") == "unknown"
+
+
+def test_planner_terms_are_added_in_order():
+    r = planner.read_question("2022年年报提到的宏观背景、竞争和物流挑战")
+    assert r["search_text"].startswith("macro environment challenge discuss describe mention competition logistics 10-k annual")
+
+
 def test_planner_intents(spark):
     from ledgerloom.plans.planner_queries import planned
 
