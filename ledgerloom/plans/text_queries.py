@@ -429,7 +429,7 @@ def page_toc(spark, sf_dir):
     return src.read_table(spark, sf_dir, "pages").select("page_id", ingestion.is_toc(F.regexp_replace("html", "<li>", "\nItem 1 ")).alias("is_toc"))
 
 
-_STATE = "WITH cur AS (SELECT doc_id, sha256(text) AS fingerprint, source AS source_path FROM documents WHERE doc_id % 13 <> 5), st AS (SELECT CASE WHEN doc_id % 17 = 3 THEN doc_id + 10000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 11 = 0 THEN 'old' ELSE sha256(text) END AS fingerprint, CASE WHEN doc_id % 7 = 0 THEN 'moved' ELSE source END AS source_path FROM documents)"
+_STATE = "WITH cur AS (SELECT doc_id, sha256(text) AS fingerprint, source AS source_path FROM documents), st AS (SELECT CASE WHEN doc_id % 17 = 3 THEN doc_id + 10000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 11 = 0 THEN 'old' ELSE sha256(text) END AS fingerprint, CASE WHEN doc_id % 7 = 0 THEN 'moved' ELSE source END AS source_path FROM documents)"
 
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -438,7 +438,7 @@ def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("doc_id") % 17 == 3, F.col("doc_id") + 10000000).otherwise(F.col("doc_id")).alias("doc_id"),
         F.when(F.col("doc_id") % 11 == 0, "old").otherwise(F.col("fingerprint")).alias("fingerprint"), F.when(F.col("doc_id") % 7 == 0, "moved").otherwise(F.col("source_path")).alias("source_path"),
     )
-    return d.filter("doc_id % 13 <> 5"), old
+    return d, old
 
 
 @query(
@@ -525,3 +525,27 @@ def events_windowed(spark, sf_dir):
     from ..streaming.events import windowed
 
     return windowed(src.read_table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "events_sliding",
+    "SELECT window_start, event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, value FROM events UNION ALL SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR, event_type, value FROM events) GROUP BY 1, 2",
+)
+def events_sliding(spark, sf_dir):
+    """Two hours wide, one hour apart."""
+    from ..streaming.events import windowed
+
+    return windowed(src.read_table(spark, sf_dir, "events"), "2 hours", "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "events_sessions",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM n GROUP BY user_id, k""",
+)
+def events_sessions(spark, sf_dir):
+    from ..streaming.events import sessions
+
+    found = sessions(src.read_table(spark, sf_dir, "events"))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})

@@ -6,6 +6,8 @@ are in. Paths may be in any store that Spark reads.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -34,9 +36,13 @@ def replace_filings(df: DataFrame, root: str, name: str) -> None:
         return write(df, root, name)
     years = df.select(PARTITION).distinct()
     rest = old.join(years, PARTITION, "left_semi").join(df.select("doc_id").distinct(), "doc_id", "left_anti").select(*df.columns)
-    # The rest is read from where it will be overwritten, so it is checkpointed first.
-    merged = rest.checkpoint() if spark.sparkContext.getCheckpointDir() else rest.persist()
-    merged.unionByName(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(path)
+    # The rest is read from where it will be overwritten, so all is written beside it first. A job lost
+    # while it overwrites leaves that copy, and running it again from there completes the table.
+    staged = f"{root}/.{name}-{uuid.uuid4().hex}"
+    rest.unionByName(df).write.parquet(staged)
+    spark.read.schema(old.select(*df.columns).schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def remove_filings(spark: SparkSession, doc_ids: DataFrame, root: str, name: str, target: str) -> None:

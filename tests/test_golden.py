@@ -235,6 +235,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stream_goes_on_and_drops_late_events(spark, tmp_path):
+    from datetime import datetime
+
+    from ledgerloom.streaming import events
+
+    def add(part, rows):
+        frame = spark.createDataFrame([(datetime(2024, 1, 1, h, m), "view", v) for h, m, v in rows], "ts timestamp, event_type string, value double")
+        frame.coalesce(1).write.parquet(str(tmp_path / "in" / part))
+
+    def run():
+        got = events.run_once(spark, str(tmp_path / "in" / "*"), str(tmp_path / "cp"), "out").collect()
+        return sorted((r["window_start"].hour, r["n_events"], r["total"]) for r in got)
+
+    add("a", [(1, 5, 1.0), (1, 50, 2.0), (5, 0, 4.0)])
+    assert run() == [(1, 2, 3.0), (5, 1, 4.0)]
+    add("b", [(1, 30, 8.0), (5, 30, 16.0)])  # the first is later than the watermark allows
+    assert run() == [(1, 2, 3.0), (5, 2, 20.0)]
+    assert run() == [(1, 2, 3.0), (5, 2, 20.0)]
+
+
 def test_question_reading():
     r = planner.read_question("What was the gross margin in Q4 2022?")
     assert r["period_semantics"] == ["quarterly_standalone"] and "Q4 2022" in r["search_text"] and r["keywords"][:2] == ["gross", "margin"]
