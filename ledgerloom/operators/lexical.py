@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.work import materialize
 
 K1, B, TOP = 1.5, 0.75, 15
 
@@ -15,9 +16,18 @@ def tokenized(chunks: DataFrame, id_col: str, text: Column) -> DataFrame:
     return chunks.select(F.col(id_col).alias("chunk_id"), tokens(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
 
 
+def words_of(chunks: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and token, one row for each token.
+
+    The outer generator keeps Catalyst from inferring a filter on the size of the array, which would
+    tokenize once more below the projection and again in the scan.
+    """
+    return chunks.select(*keep, F.explode_outer("tokens").alias("token"))
+
+
 def document_frequency(chunks: DataFrame) -> DataFrame:
     """token, df, tf over tokenized chunks."""
-    per = chunks.select("chunk_id", F.explode("tokens").alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    per = words_of(chunks, "chunk_id").filter("token IS NOT NULL").groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
 
 
@@ -25,28 +35,38 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("n_tokens"), F.round(F.avg("dl"), 6).alias("avg_dl"))
 
 
+def postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """token, chunk_id, dl, tf of the asked tokens, written once, from one pass over the corpus.
+
+    Each chunk also has one row of a null token, so that the statistics of the whole corpus come from
+    this table as well. Tokens that are not asked for are dropped right after tokenizing.
+    """
+    marked = chunks.withColumn("tokens", F.concat(F.array(F.lit(None).cast("string")), "tokens"))
+    wanted = asked.select("token").union(asked.sparkSession.range(1).select(F.lit(None).cast("string"))).distinct().withColumnRenamed("token", "w")
+    kept = words_of(marked, "chunk_id", "dl").join(wanted, F.col("token").eqNullSafe(F.col("w")), "left_semi")
+    return materialize(kept.groupBy("token", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
+
+
 def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, score over tokenized chunks and tokenized queries (query_id, tokens).
 
-    Statistics cover the whole corpus whatever is filtered later. Only the queries' tokens are
-    shuffled: everything else is dropped right after tokenizing; length and average need no shuffle.
+    Statistics cover the whole corpus whatever is filtered later. The corpus is tokenized once; only
+    the queries' tokens and one row a chunk are shuffled.
     """
-    asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    stats = chunks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    postings = (
-        chunks.select("chunk_id", "dl", F.explode("tokens").alias("token"))
-        .join(asked.select("token").distinct(), "token", "left_semi")
-        .groupBy("token", "chunk_id", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    asked = words_of(queries, "query_id").filter("token IS NOT NULL").groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    index = postings(chunks, asked)
+    found = index.filter("token IS NOT NULL")
+    stats = index.filter("token IS NULL").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    frequency = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    weighted = asked.join(frequency, "token").crossJoin(F.broadcast(stats)).withColumn("idf", idf)  # stats: one row
+    weighted = asked.join(frequency, "token").crossJoin(F.broadcast(stats)).select("query_id", "token", (F.col("qtf") * idf).alias("weight"), "avg_dl")  # stats: one row
+    # Written, so that the planner knows its size: it is broadcast if small, and the postings, which
+    # grow with the corpus, stay where they are.
     return (
-        postings.join(weighted, "token")
+        found.join(materialize(weighted, "weights"), "token")
         .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * norm), 6).alias("score"))
+        .agg(F.round(F.sum(F.col("weight") * norm), 6).alias("score"))
         .filter("score > 0")
     )
 

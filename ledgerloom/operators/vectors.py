@@ -15,27 +15,33 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0.0 for different lengths, empty or zero vectors."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int, rows: int, asked: int, match: Column | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank: a stated query set against all vectors, block by block.
+def scored(vectors: DataFrame, queries: DataFrame, rows: int, asked: int, match: Column | None = None) -> DataFrame:
+    """query_id, vec_id, source_chunk_id, score: a stated query set against all vectors, block by block.
 
     Both sides are dealt into blocks of about ``BLOCK_ROWS``; each pair of blocks is one key of an
     equi-join, so neither side is broadcast and no task sees more than two blocks. ``rows`` and
-    ``asked`` are the sizes of the two sides.
+    ``asked`` are the sizes of the two sides. Norms are taken once a vector, before the copies.
     """
     vb, qb = max(1, -(-rows // BLOCK_ROWS)), max(1, -(-asked // BLOCK_ROWS))
-    left = vectors.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.lit(vb))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qb - 1).cast("bigint"))))
-    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(vb - 1).cast("bigint"))))
+
+    def dealt(side: DataFrame, own: str, n_own: int, key: str, other: str, n_other: int) -> DataFrame:
+        copies = F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))
+        return side.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(other, F.explode(copies))
+
+    left = dealt(vectors.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding")))), "vb", vb, "vec_id", "qb", qb)
+    right = dealt(queries.withColumn("query_norm", F.sqrt(dot(F.col("query_embedding"), F.col("query_embedding")))), "qb", qb, "query_id", "vb", vb)
     pairs = left.join(right, ["vb", "qb"])
     if match is not None:
         pairs = pairs.filter(match)
-    scored = pairs.withColumn("score", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 6))
-    return top_k(scored.select("query_id", "vec_id", "source_chunk_id", "score"), ["query_id"], k, "vec_id")
+    a, b = F.col("embedding"), F.col("query_embedding")
+    norms = F.col("norm") * F.col("query_norm")  # different lengths, empty and zero vectors: 0.0
+    cos = F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norms > 0), dot(a, b) / norms).otherwise(F.lit(0.0))
+    return pairs.select("query_id", "vec_id", "source_chunk_id", F.round(cos, 6).alias("score"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, rows: int, asked: int, match: Column | None = None) -> DataFrame:
+    """The k best of ``scored`` for each query, with rank."""
+    return top_k(scored(vectors, queries, rows, asked, match), ["query_id"], k, "vec_id")
 
 
 def collapse_segments(scored: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def vector_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = src.read_table(spark, sf_dir, "benchmark")
     asked = v.join(items, v.vec_id == items.item_id).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     rows, n = src.read_table(spark, sf_dir, "embeddings").count(), items.count()
-    return vectors.collapse_segments(vectors.search(v, asked, rows, rows, n)).withColumnRenamed("source_chunk_id", "chunk_id").select("query_id", "chunk_id", "score")
+    return vectors.collapse_segments(vectors.scored(v, asked, rows, n)).withColumnRenamed("source_chunk_id", "chunk_id").select("query_id", "chunk_id", "score")
 
 
 def single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
