@@ -49,9 +49,9 @@ CELL_NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 
 
 def cell_value(cell: Column) -> Column:
-    """A table cell's number; (x) and a leading minus are negative. Numbers without commas are read whole."""
+    """A table cell's number; one in parentheses or after a minus is negative. Numbers without commas are read whole."""
     found = F.replace(F.regexp_extract(cell, f"({CELL_NUMBER})", 1), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(cell.contains("(") | F.trim(cell).startswith("-"), -found).otherwise(found)
+    return F.when(F.trim(cell).rlike(r"^\(.*\)$|^-"), -found).otherwise(found)
 
 
 def table_values(rows: DataFrame, aliases: DataFrame) -> DataFrame:

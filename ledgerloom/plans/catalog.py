@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answer_queries, facts_queries, planner_queries, text_queries
+from . import answer_queries, facts_queries, linker_queries, planner_queries, text_queries
 
-_MODULES = [facts_queries, text_queries, planner_queries, answer_queries]
+_MODULES = [facts_queries, text_queries, linker_queries, planner_queries, answer_queries]
 
 
 def queries() -> dict:
