@@ -78,7 +78,7 @@ def first_alias(text: Column) -> Column:
 def alias_rows(tables: DataFrame, words: DataFrame) -> DataFrame:
     """Each table row that names a concept, by its label before its whole text, with the alias found."""
     rows = tables.select("table_id", "entity", F.col("period_end").alias("table_end"), "ord", table_scale(F.concat_ws(" ", "caption", F.array_join("headers", " "))).alias("scale"), "headers", F.get("rows", F.lit(0)).alias("top"), F.posexplode_outer("rows").alias("row_index", "cells"))
-    low = rows.withColumn("label", F.lower(F.trim(F.get("cells", F.lit(0))))).withColumn("line", F.lower(F.array_join(F.transform("cells", F.trim), " ")))
+    low = rows.withColumn("label", F.lower(F.trim(F.get("cells", F.lit(0))))).withColumn("line", F.lower(F.array_join(F.transform("cells", lambda x: F.trim(x)), " ")))
     named = low.join(F.broadcast(words), F.exists("aliases", lambda a: F.col("line").contains(a)))
     return named.withColumn("alias", F.coalesce(first_alias(F.col("label")), first_alias(F.col("line")))).drop("label", "line", "aliases", "words")
 
@@ -110,7 +110,7 @@ def table_fallback(missing: DataFrame, tables: DataFrame, words: DataFrame) -> D
 def text_fallback(missing: DataFrame, sections: DataFrame, words: DataFrame) -> DataFrame:
     """The same from section texts (chunk_id, entity, ord, text) in order: the number in a line with an
     alias that stands where the year stands in one of the first lines, or the line's only number."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     cut = sections.select("chunk_id", "entity", "ord", table_scale(F.col("text")).alias("scale"), lines.alias("lines"))
     years = F.filter(F.transform(F.slice("lines", 1, HEADER_LINES), lambda x: F.regexp_extract_all(x, F.lit(YEAR), F.lit(0))), lambda y: F.size(y) > 0)
     rows = cut.withColumn("years", years).select("chunk_id", "entity", "ord", "scale", "years", F.posexplode_outer("lines").alias("line_no", "line"))

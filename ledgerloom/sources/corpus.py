@@ -79,9 +79,12 @@ def read_state(spark: SparkSession, root: str) -> DataFrame:
 
 
 def vector_rows(segments: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Segments (chunk_id, segment_index, segment_count, text) with their embeddings, one row each."""
-    return segments.join(embeddings, ["chunk_id", "segment_index"]).select(
-        F.concat_ws(":", "chunk_id", "segment_index").alias("segment_id"), F.col("chunk_id").alias("source_chunk_id"), "segment_index", "segment_count", F.col("text").alias("display_text"), "embedding"
+    """Segments (chunk_id, segment_index, segment_count, text) with their embeddings, one row each; a
+    segment without an embedding fails the job."""
+    lost = F.raise_error(F.concat(F.lit("no embedding of segment "), F.concat_ws(":", "chunk_id", "segment_index"))).cast("array<double>")
+    return segments.join(embeddings, ["chunk_id", "segment_index"], "left").select(
+        F.concat_ws(":", "chunk_id", "segment_index").alias("segment_id"), F.col("chunk_id").alias("source_chunk_id"), "segment_index", "segment_count", F.col("text").alias("display_text"),
+        F.coalesce("embedding", lost).alias("embedding"),
     )
 
 
