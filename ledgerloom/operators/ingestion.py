@@ -113,6 +113,13 @@ def table_status(validated: DataFrame, key: list[str]) -> DataFrame:
     return worst.select(*key, "n_cells", F.when(F.col("s") == 2, "failed").when(F.col("s") == 1, "suspect").otherwise("valid").alias("table_status"))
 
 
+def diagnostics(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """One row of counters: pages (fallback_reason, failed) and tables (table_status) of an ingestion."""
+    counted = pages.agg(F.count_if(F.col("fallback_reason").isNotNull()).alias("fallback_pages"), F.count_if("failed").alias("failed_pages"))
+    judged = tables.agg(*[F.count_if(F.col("table_status") == s).alias(f"validation_{s}_tables") for s in ("failed", "suspect")])
+    return counted.crossJoin(judged)  # one row each
+
+
 def reconcile(cells: DataFrame, facts: DataFrame, labels: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Table values against facts whose label the header contains, for the same entity and period.
 

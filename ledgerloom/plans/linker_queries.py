@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facts as ops
-from ..operators import linker
+from ..operators import factlines, linker
 from ..sources import tables as src
+from . import merge
 from .facts_queries import FACTS_SQL, FILINGS_SQL, first
 
 QUERIES: dict = {}
@@ -179,3 +180,51 @@ def link_periods(spark, sf_dir):
     """The document of a question's own id stands for what was retrieved."""
     hits = src.read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("doc_id"))
     return linker.relevant_periods(hits, src.filings(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(
+    "narrative_gaps",
+    FILINGS_SQL + ", q AS (SELECT item_id AS query_id, last_day(make_date(CAST(2021 + item_id % 5 AS BIGINT), CAST(12 - 3 * (item_id % 3) AS BIGINT), 1)) AS period_end FROM benchmark) SELECT query_id, period_end FROM q WHERE NOT EXISTS (SELECT 1 FROM filings f WHERE f.doc_id = q.query_id AND f.period_end = q.period_end) AND query_id % 7 <> 0",
+)
+def narrative_gaps(spark, sf_dir):
+    """Required periods whose question has no document of that period; every seventh question is excused."""
+    item = F.col("item_id")
+    items = src.read_table(spark, sf_dir, "benchmark")
+    need = items.select(item.alias("query_id"), F.last_day(F.make_date((2021 + item % 5).cast("int"), (12 - 3 * (item % 3)).cast("int"), F.lit(1))).alias("period_end"))
+    filings = src.filings(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "period_end")
+    return factlines.narrative_gaps(need, filings, need.filter("query_id % 7 = 0"))
+
+
+@query("fact_lines", FACTS_SQL + " SELECT entity, concept, period_end, split_part(concept, ':', 2) || ' (FY' || year(period_end) || '): ' || format('{:,}', CAST(floor(arg_min(value, ord)) AS BIGINT)) || '.00 USD' AS line FROM facts WHERE month(period_end) = 12 GROUP BY entity, concept, period_end")
+def fact_lines(spark, sf_dir):
+    facts = first(spark, sf_dir).select("entity", "concept", "period_end", F.floor("value").cast("double").alias("value"), F.element_at(F.split("concept", ":"), -1).alias("label"), F.lit("USD").alias("unit"), "ord")
+    ends = facts.select("period_end").filter(F.month("period_end") == 12)
+    return factlines.fact_lines(facts, ["entity"], ends)
+
+
+@query("facts_by_period", FACTS_SQL + " SELECT entity, period_end, string_agg(DISTINCT concept, ',' ORDER BY concept) AS concepts FROM facts GROUP BY 1, 2")
+def facts_by_period(spark, sf_dir):
+    return factlines.concepts_by_period(first(spark, sf_dir), ["entity"]).withColumn("concepts", F.array_join("concepts", ","))
+
+
+@query(
+    "plan_merge_concepts",
+    """WITH c AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['us-gaap:CostOfRevenue', 'us-gaap:CostOfRevenue'] WHEN 2 THEN ['us-gaap:GrossProfit'] ELSE ['us-gaap:Revenues', 'us-gaap:GrossProfit'] END AS r,
+  CASE item_id % 3 WHEN 0 THEN [] WHEN 1 THEN ['us-gaap:CostOfGoodsAndServicesSold'] ELSE ['us-gaap:Revenues'] END AS f, item_id % 2 = 1 AS composite FROM benchmark)
+SELECT item_id, CASE WHEN item_id % 4 = 0 THEN array_to_string(f, ',') WHEN item_id % 3 = 0 THEN CASE item_id % 4 WHEN 1 THEN 'us-gaap:CostOfRevenue' WHEN 2 THEN 'us-gaap:GrossProfit' ELSE 'us-gaap:Revenues,us-gaap:GrossProfit' END
+  WHEN composite AND NOT (item_id % 4 = 1 AND item_id % 3 = 1 OR item_id % 4 = 3 AND item_id % 3 = 2) THEN f[1]
+  WHEN item_id % 4 = 3 AND item_id % 3 = 2 THEN 'us-gaap:Revenues,us-gaap:GrossProfit' WHEN item_id % 4 = 1 THEN f[1] || ',us-gaap:CostOfRevenue' WHEN item_id % 4 = 2 THEN f[1] || ',us-gaap:GrossProfit' ELSE f[1] || ',us-gaap:Revenues,us-gaap:GrossProfit' END AS concepts FROM c""",
+)
+def plan_merge_concepts(spark, sf_dir):
+    """Each question with the concepts of a rule plan and of a proposal, dealt by its id."""
+    n = F.col("item_id")
+
+    def dealt(k: int, *lists: list[str]) -> Column:
+        out = F.array().cast("array<string>")
+        for i, names in enumerate(lists, 1):
+            out = F.when(n % k == i, F.array(*[F.lit(x) for x in names])).otherwise(out)
+        return out
+
+    resolved = dealt(4, [linker.COST_OF_REVENUE] * 2, [src.GROSS], [src.REVENUE, src.GROSS])
+    fallback = dealt(3, [linker.COST_OF_GOODS], [src.REVENUE])
+    return src.read_table(spark, sf_dir, "benchmark").select("item_id", F.array_join(merge.required_concepts(resolved, fallback, n % 2 == 1), ",").alias("concepts"))

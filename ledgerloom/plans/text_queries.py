@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import numeric_cells, suspicious_cell, table_scale
-from ..operators import chunking, evaluation, evidence, fusion, ingestion, lexical, vectors
+from ..operators import chunking, evaluation, evidence, fusion, ingestion, layout, lexical, vectors
 from ..sources import tables as src
+from ..sources.work import work_dir
 from .facts_queries import FACTS_SQL, first
 
 QUERIES: dict = {}
@@ -279,6 +282,32 @@ def table_status_rollup(spark, sf_dir):
     return ingestion.table_status(ingestion.validate_cells(rendered_cells(spark, sf_dir)), ["table_id"])
 
 
+_ROWS_SQL = """WITH r AS (SELECT l_orderkey AS table_id, l_linenumber AS n, CASE WHEN l_linenumber % 3 = 0 OR l_orderkey % 4 = 0 THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS c, l_orderkey % 4 = 0 AS narrow FROM lineitem)"""
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tables of lines; every fourth has but one column, and cells carry white space to clean."""
+    li = src.read_table(spark, sf_dir, "lineitem")
+    narrow = F.col("l_orderkey") % 4 == 0
+    cell = F.when((F.col("l_linenumber") % 3 == 0) | narrow, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.col("l_quantity").cast("bigint").cast("string"), F.lit("\t")))
+    rows = li.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", cell.alias("c")))).alias("lines"))  # seven lines at most
+    body = F.transform("lines", lambda x: F.array(F.concat(F.lit("Line "), x["l_linenumber"].cast("string")), x["c"]))
+    head = F.array(F.lit("Line"), F.when(F.col("table_id") % 4 == 0, "").otherwise("Quantity"))
+    return rows.select("table_id", F.concat(F.array(head, F.array(F.lit(""), F.lit(None).cast("string"))), body).alias("raw"))
+
+
+@query(
+    "table_layout",
+    _ROWS_SQL + " SELECT table_id, count(*) >= 2 AND NOT bool_and(narrow) AS is_table, 'Line | ' || CASE WHEN bool_and(narrow) THEN '' ELSE 'Quantity' END || chr(10) || string_agg('Line ' || n || ' | ' || c, chr(10) ORDER BY n, c) AS text FROM r GROUP BY table_id",
+)
+def table_layout(spark, sf_dir):
+    made = layout.split_table(raw_tables(spark, sf_dir), "raw")
+    return made.select("table_id", layout.is_table(F.col("headers"), F.col("rows")).alias("is_table"), layout.table_text(F.col("headers"), F.col("rows")).alias("text"))
+
+
+_TABLE_STATUS = """, st AS (SELECT table_id, max(CASE WHEN detail LIKE 'parse_failed%' THEN 2 WHEN detail = 'non_numeric' AND len(regexp_extract_all(raw_value, '\\d')) >= 2 AND (""" + _SUSPECT.format(c="raw_value") + """) IS NOT NULL THEN 1 ELSE 0 END) AS s FROM parsed GROUP BY table_id)"""
+
+
 _CELLS_SQL = """, cell AS (SELECT entity || '/' || strftime(period_end, '%Y-%m-%d') AS table_id, entity, period_end, CASE concept WHEN 'us-gaap:Revenues' THEN 'Total revenues (USD)' WHEN 'us-gaap:GrossProfit' THEN 'Gross profit' ELSE 'Other' END AS header,
   CAST(value AS DOUBLE) * (CASE WHEN month(period_end) = 6 THEN 1.05e0 ELSE 1e0 END) AS value FROM facts WHERE NOT is_instant),
 lab(concept, label) AS (VALUES ('us-gaap:Revenues', 'revenues'), ('us-gaap:GrossProfit', 'gross profit')),
@@ -423,6 +452,16 @@ def page_diagnostics(spark, sf_dir):
     return p.select("page_id", F.length("t").cast("bigint").alias("n_chars"), ingestion.page_fallback(F.col("t"), F.lit(0)).alias("fallback_reason"))
 
 
+@query(
+    "ingestion_diagnostics",
+    _PARSED + _TABLE_STATUS + f" SELECT (SELECT count(*) FROM pages WHERE length({_PAGE}) < 20) AS fallback_pages, (SELECT count(*) FROM pages WHERE length({_PAGE}) = 0) AS failed_pages, (SELECT count(*) FROM st WHERE s = 2) AS validation_failed_tables, (SELECT count(*) FROM st WHERE s = 1) AS validation_suspect_tables",
+)
+def ingestion_diagnostics(spark, sf_dir):
+    """Pages without any text count as failed here."""
+    pages = page_diagnostics(spark, sf_dir).withColumn("failed", F.col("n_chars") == 0)
+    return ingestion.diagnostics(pages, table_status_rollup(spark, sf_dir))
+
+
 @query("page_toc", r"SELECT page_id, len(list_filter(string_split(replace(html, '<li>', chr(10) || 'Item 1 '), chr(10)), lambda x: regexp_matches(x, '(?i)^\s*item\s+\d+[a-z]?\b'))) >= 5 AS is_toc FROM pages")
 def page_toc(spark, sf_dir):
     """Menu entries stand for the items of a table of contents."""
@@ -520,13 +559,25 @@ def report_rollup(spark, sf_dir):
     return evaluation.report(_results(spark, sf_dir), "category", "difficulty")
 
 
-@query("events_windowed", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+_WINDOWED = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
+
+
+@query("events_windowed", _WINDOWED)
 def events_windowed(spark, sf_dir):
     from ..streaming.events import windowed
 
     return windowed(src.read_table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("events_stream", _WINDOWED)
+def events_stream(spark, sf_dir):
+    """The same by Structured Streaming, from the file as it arrives to the last state of each window."""
+    from ..streaming.events import run_once
+
+    counted = run_once(spark, sf_dir, f"{work_dir(spark)}/events-{uuid.uuid4().hex}", "windows", "events.parquet")
+    return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query(
     "events_sliding",
     "SELECT window_start, event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, value FROM events UNION ALL SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR, event_type, value FROM events) GROUP BY 1, 2",

@@ -22,13 +22,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     )
 
 
-def stream(spark: SparkSession, path: str) -> DataFrame:
+def stream(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
     """A streaming frame over event files in a folder, with a watermark."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
+    schema = spark.read.option("pathGlobFilter", files).parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
 
 
-def run_once(spark: SparkSession, path: str, checkpoint: str, name: str) -> DataFrame:
+def run_once(spark: SparkSession, path: str, checkpoint: str, name: str, files: str = "*") -> DataFrame:
     """Process what has arrived and return the windows so far, those still open included.
 
     Each batch writes the windows it changed beside the checkpoint, a repeated batch over its first
@@ -36,7 +36,7 @@ def run_once(spark: SparkSession, path: str, checkpoint: str, name: str) -> Data
     closed windows are late and not counted.
     """
     out = f"{checkpoint.rstrip('/')}-{name}"
-    counted = windowed(stream(spark, path))
+    counted = windowed(stream(spark, path, files))
 
     def put(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
