@@ -97,7 +97,7 @@ s AS (SELECT q.vec_id AS query_id, q.label AS query_label, v.vec_id, v.source_ch
 _VTOP = "SELECT query_id, vec_id, source_chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s {w} QUALIFY rank <= 15"
 
 
-def vector_pairs(spark: SparkSession, sf_dir: str, k: int, match=None) -> DataFrame:
+def vector_pairs(spark: SparkSession, sf_dir: str, k: int, match: tuple[str, str] | None = None) -> DataFrame:
     """The stated query set is every vector whose id is divisible by 100."""
     v = src.vectors(spark, sf_dir)
     asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_embedding"))
@@ -112,7 +112,7 @@ def vector_topk(spark, sf_dir):
 
 @query("vector_filtered_topk", VECTORS_SQL + _VTOP.format(w="WHERE label = query_label"))
 def vector_filtered_topk(spark, sf_dir):
-    return vector_pairs(spark, sf_dir, 15, F.col("label") == F.col("query_label"))
+    return vector_pairs(spark, sf_dir, 15, ("label", "query_label"))
 
 
 _COLLAPSE = ", c AS (SELECT query_id, source_chunk_id, max(score) AS score, arg_min(vec_id, {'a': -score, 'b': vec_id}) AS vec_id FROM (" + _VTOP.format(w="").replace("<= 15", "<= 60") + ") GROUP BY ALL) "
@@ -149,18 +149,22 @@ _SINGLE = ", lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 _PERIOD = ", lex AS (SELECT query_id, fiscal_year, chunk_id, row_number() OVER (PARTITION BY query_id, fiscal_year ORDER BY score DESC, chunk_id) AS rank FROM score JOIN yr USING (chunk_id) QUALIFY rank <= 15), vec AS (SELECT query_id, fiscal_year, chunk_id, row_number() OVER (PARTITION BY query_id, fiscal_year ORDER BY score DESC, chunk_id) AS rank FROM vs JOIN yr USING (chunk_id) QUALIFY rank <= 15)" + _FUSE.format(k="query_id, fiscal_year", n=3)
 
 
-def vector_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, chunk_id, score: each question's own vector against all, best segment of each chunk."""
+def vector_lane(spark: SparkSession, sf_dir: str, k: int, group: str | None = None) -> DataFrame:
+    """query_id, (group,) chunk_id, score, rank: each question's own vector against all, best segment of each chunk."""
     v = src.vectors(spark, sf_dir)
     items = src.read_table(spark, sf_dir, "benchmark")
     asked = v.join(items, v.vec_id == items.item_id).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     rows, n = src.read_table(spark, sf_dir, "embeddings").count(), items.count()
-    return vectors.collapse_segments(vectors.scored(v, asked, rows, n)).withColumnRenamed("source_chunk_id", "chunk_id").select("query_id", "chunk_id", "score")
+    if group:
+        years = src.filings(spark, sf_dir).select(F.col("doc_id").alias("source_chunk_id"), F.col("fiscal_year").cast("bigint").alias("fiscal_year"))
+        v = v.join(years, "source_chunk_id")
+    found = vectors.search(v, asked, k, rows, n, group=group, collapse=True)
+    return found.select("query_id", *([group] if group else []), F.col("source_chunk_id").alias("chunk_id"), "score", "rank")
 
 
 def single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = lexical.top_k(scores(spark, sf_dir), ["query_id"], 15)
-    return fusion.fuse(lex, lexical.top_k(vector_lane(spark, sf_dir), ["query_id"], 15), ["query_id"])
+    return fusion.fuse(lex, vector_lane(spark, sf_dir, 15), ["query_id"])
 
 
 @query("hybrid_single_pass", _LANES + _SINGLE + "SELECT * FROM hits")
@@ -173,7 +177,7 @@ def hybrid_per_period(spark, sf_dir):
     years = src.filings(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("fiscal_year").cast("bigint").alias("fiscal_year"))
     key = ["query_id", "fiscal_year"]
     lex = lexical.top_k(scores(spark, sf_dir).join(years, "chunk_id"), key, 15)
-    vec = lexical.top_k(vector_lane(spark, sf_dir).join(years, "chunk_id"), key, 15)
+    vec = vector_lane(spark, sf_dir, 15, "fiscal_year")
     return fusion.first_period_wins(fusion.fuse(lex, vec, key, top=fusion.per_period_top(5)), "query_id", "fiscal_year")
 
 
