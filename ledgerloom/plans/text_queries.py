@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import numeric_cells, suspicious_cell, table_scale
 from ..operators import chunking, evaluation, evidence, fusion, ingestion, layout, lexical, vectors
 from ..sources import tables as src
-from ..sources.work import work_dir
+from ..sources.work import materialize, work_dir
 from .facts_queries import FACTS_SQL, first
 
 QUERIES: dict = {}
@@ -42,15 +42,15 @@ score AS (SELECT query_id, chunk_id, round(sum(qtf * ln((n - df + 0.5e0) / (df +
 
 
 def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.tokenized(src.chunks(spark, sf_dir), "chunk_id", F.concat_ws(" ", "section_title", "text"))
+    return lexical.tokenized(src.chunks(spark, sf_dir), "chunk_id", F.concat_ws(" ", "section_title", "text"), F.col("fiscal_year").cast("bigint").alias("fiscal_year"))
 
 
 def question_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), lexical.tokens(F.col("text")).alias("tokens"))
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_scores(chunk_tokens(spark, sf_dir), question_tokens(spark, sf_dir))
+def lexical_top(spark: SparkSession, sf_dir: str, k: int, group: str | None = None, where: str | None = None) -> DataFrame:
+    return lexical.bm25_top(chunk_tokens(spark, sf_dir), question_tokens(spark, sf_dir), k, group, where)
 
 
 @query("tokenize_df", CHUNKS_SQL + "SELECT token, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM word GROUP BY token")
@@ -68,14 +68,14 @@ _TOP_SQL = "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY qu
 
 @query("bm25_topk", SCORES_SQL + _TOP_SQL.format(t="score", k=15))
 def bm25_topk(spark, sf_dir):
-    return lexical.top_k(scores(spark, sf_dir), ["query_id"], lexical.TOP)
+    return lexical_top(spark, sf_dir, lexical.TOP)
 
 
 @query("bm25_doc_filtered", SCORES_SQL + ", f AS (SELECT s.* FROM score s JOIN sized USING (chunk_id) WHERE fiscal_year = 2023) " + _TOP_SQL.format(t="f", k=15))
 def bm25_doc_filtered(spark, sf_dir):
     """Statistics stay global; only the hits are restricted."""
-    wanted = src.filings(spark, sf_dir).filter("fiscal_year = 2023").select(F.col("doc_id").alias("chunk_id"))
-    return lexical.top_k(scores(spark, sf_dir).join(wanted, "chunk_id", "left_semi"), ["query_id"], lexical.TOP).select("query_id", "chunk_id", "score", "rank")
+    top = lexical_top(spark, sf_dir, lexical.TOP, "fiscal_year", "fiscal_year = 2023")
+    return top.select("query_id", "chunk_id", "score", "rank")
 
 
 _PERIOD_SQL = ", f AS (SELECT s.*, fiscal_year FROM score s JOIN sized USING (chunk_id)) SELECT query_id, fiscal_year, chunk_id, score, row_number() OVER (PARTITION BY query_id, fiscal_year ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 3"
@@ -83,9 +83,7 @@ _PERIOD_SQL = ", f AS (SELECT s.*, fiscal_year FROM score s JOIN sized USING (ch
 
 @query("bm25_per_period", SCORES_SQL + _PERIOD_SQL)
 def bm25_per_period(spark, sf_dir):
-    years = src.filings(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("fiscal_year").cast("bigint").alias("fiscal_year"))
-    ranked = lexical.top_k(scores(spark, sf_dir).join(years, "chunk_id"), ["query_id", "fiscal_year"], fusion.per_period_top(5))
-    return ranked.select("query_id", "fiscal_year", "chunk_id", "score", "rank")
+    return lexical_top(spark, sf_dir, fusion.per_period_top(5), "fiscal_year").select("query_id", "fiscal_year", "chunk_id", "score", "rank")
 
 
 # --- vectors and fusion -------------------------------------------------------------------------
@@ -163,8 +161,7 @@ def vector_lane(spark: SparkSession, sf_dir: str, k: int, group: str | None = No
 
 
 def single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = lexical.top_k(scores(spark, sf_dir), ["query_id"], 15)
-    return fusion.fuse(lex, vector_lane(spark, sf_dir, 15), ["query_id"])
+    return fusion.fuse(lexical_top(spark, sf_dir, 15), vector_lane(spark, sf_dir, 15), ["query_id"])
 
 
 @query("hybrid_single_pass", _LANES + _SINGLE + "SELECT * FROM hits")
@@ -174,11 +171,8 @@ def hybrid_single_pass(spark, sf_dir):
 
 @query("hybrid_per_period", _LANES + _PERIOD + "SELECT query_id, chunk_id, min(fiscal_year) AS fiscal_year, arg_min(fused, fiscal_year) AS fused, arg_min(final_rank, fiscal_year) AS final_rank FROM hits GROUP BY 1, 2")
 def hybrid_per_period(spark, sf_dir):
-    years = src.filings(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("fiscal_year").cast("bigint").alias("fiscal_year"))
-    key = ["query_id", "fiscal_year"]
-    lex = lexical.top_k(scores(spark, sf_dir).join(years, "chunk_id"), key, 15)
-    vec = vector_lane(spark, sf_dir, 15, "fiscal_year")
-    return fusion.first_period_wins(fusion.fuse(lex, vec, key, top=fusion.per_period_top(5)), "query_id", "fiscal_year")
+    lex, vec = lexical_top(spark, sf_dir, 15, "fiscal_year"), vector_lane(spark, sf_dir, 15, "fiscal_year")
+    return fusion.first_period_wins(fusion.fuse(lex, vec, ["query_id", "fiscal_year"], top=fusion.per_period_top(5)), "query_id", "fiscal_year")
 
 
 # --- evidence -----------------------------------------------------------------------------------
@@ -189,7 +183,8 @@ CUES = ["tion", "ement", "ung", "risk"]
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = src.chunks(spark, sf_dir).select("chunk_id", "text", "section_title", F.when(F.col("chunk_id") % 3 > 0, F.col("chunk_id") % 50).alias("page_number"))
-    return bm25_topk(spark, sf_dir).join(chunks, "chunk_id")
+    # Written, so that the planner knows how few they are: they are broadcast, and the texts stay where they are.
+    return materialize(bm25_topk(spark, sf_dir), "hits").join(chunks, "chunk_id")
 
 
 @query(
