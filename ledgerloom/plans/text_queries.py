@@ -41,8 +41,8 @@ score AS (SELECT query_id, chunk_id, round(sum(qtf * ln((n - df + 0.5e0) / (df +
 """
 
 
-def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.tokenized(src.chunks(spark, sf_dir), "chunk_id", F.concat_ws(" ", "section_title", "text"), F.col("fiscal_year").cast("bigint").alias("fiscal_year"))
+def chunk_tokens(spark: SparkSession, sf_dir: str, make=lexical.tokenized) -> DataFrame:
+    return make(src.chunks(spark, sf_dir), "chunk_id", F.concat_ws(" ", "section_title", "text"), F.col("fiscal_year").cast("bigint").alias("fiscal_year"))
 
 
 def question_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def question_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_top(spark: SparkSession, sf_dir: str, k: int, group: str | None = None, where: str | None = None) -> DataFrame:
-    return lexical.bm25_top(chunk_tokens(spark, sf_dir), question_tokens(spark, sf_dir), k, group, where)
+    return lexical.bm25_top(chunk_tokens(spark, sf_dir, lexical.lowered), question_tokens(spark, sf_dir), k, group, where)
 
 
 @query("tokenize_df", CHUNKS_SQL + "SELECT token, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM word GROUP BY token")
